@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import byte_bpe, token_counts
+from allelix.llm import byte_bpe, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_quality_rules": quality.op2_quality_rules,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_rules": quality.ORACLE_SQL,
+    }
