@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import byte_bpe, quality, token_counts
+from allelix.llm import byte_bpe, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_packing": packing.op3_packing,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     }
 
