@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import byte_bpe, packing, quality, token_counts
+from allelix.llm import byte_bpe, language_id, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_packing": packing.op3_packing,
+        "op5_language_id": language_id.op5_language_id,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     }
 
