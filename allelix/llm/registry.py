@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import byte_bpe, language_id, packing, quality, token_counts
+from allelix.llm import byte_bpe, language_id, packing, quality, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_packing": packing.op3_packing,
         "op5_language_id": language_id.op5_language_id,
+        "op6_warc": warc.op6_warc,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     }
 
@@ -22,4 +23,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.ORACLE_SQL,
+        "op6_warc": warc.ORACLE_SQL,
     }
