@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from allelix.llm.common import BoundedCache, chunks, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE_KEYS = 800_000
+CACHE_KEYS = 500_000
 PAIR_KEYS = 1_000_000
 
 
@@ -33,6 +33,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+def decode(tokens: dict[int, bytes], ids: Iterable[int]) -> bytes:
+    """The bytes of the tokens in a row; they need not be whole characters."""
+    return b"".join(map(tokens.__getitem__, ids))
+
+
 class PrefixEncoder:
     """Encodes by a table of each prefix's last token."""
 
@@ -155,7 +160,7 @@ class PrefixEncoder:
         return np.frombuffer(self.encode_packed([text])[0], dtype="<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return decode(self.tokens, ids)
 
 
 @lru_cache(maxsize=2)
@@ -188,14 +193,14 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = encoder(path)
+        tokens = {i: t for t, i in load_ranks(path).items()}
         for batch in batches:
             doc_id, n_tokens, column = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "n_tokens", "ids"))
             a, b = [], []
             for x in column:
                 ids = x.as_py() or b""
                 a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(engine.decode(np.frombuffer(ids, dtype="<u4").tolist())).hexdigest())
+                b.append(hashlib.sha256(decode(tokens, np.frombuffer(ids, dtype="<u4").tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([doc_id, n_tokens, pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, SCHEMA)
