@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import byte_bpe, embeddings, language_id, packing, quality, simhash, token_counts, warc
+from allelix.llm import byte_bpe, embeddings, language_id, packing, quality, simhash, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op5_language_id": language_id.op5_language_id,
         "op6_warc": warc.op6_warc,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_embeddings": embeddings.op8_embeddings,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_simhash": simhash.op10_simhash,
