@@ -25,7 +25,7 @@ BLOCK_BYTES = 12 << 20
 Message = tuple[int, bytes]
 
 
-def _packed(batches: list[pa.RecordBatch]) -> bytes:
+def packed_rows(batches: list[pa.RecordBatch]) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         for b in batches:
@@ -37,7 +37,7 @@ def rows_of(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all().combine_chunks()
 
 
-def as_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def as_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, pack: Callable[[list[pa.RecordBatch]], bytes] = packed_rows) -> DataFrame:
     """A stored table (block, n_bytes, payload) of all rows of ``docs``; a longer text is a block of its own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def as_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
         def block() -> pa.RecordBatch:
             nonlocal number
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["block", "n_bytes", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(held)], pa.binary())], names=["block", "n_bytes", "payload"])
 
         for batch in batches:
             lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text)).fill_null("")).to_pylist()
@@ -107,36 +107,36 @@ def _message_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
 
 
-def send(blocks: DataFrame, make: Callable[[int, pa.Table], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
+def send(blocks: DataFrame, make: Callable[..., Iterable[tuple[int, int, bytes]]], unpack: Callable = rows_of) -> DataFrame:
     """``make(block, rows)`` gives (shard, kind, message) of each block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0), batch.column(1), strict=True):
                 block = block.as_py()
-                yield from messages((shard, block, kind, m) for shard, kind, m in make(block, rows_of(payload.as_buffer())))
+                yield from messages((shard, block, kind, m) for shard, kind, m in make(block, unpack(payload.as_buffer())))
 
     return blocks.select("block", "payload").mapInArrow(run, _MESSAGES)
 
 
-def answer(sent: DataFrame, make: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
-    """``make(kind, messages)`` gives the answers of a shard to the messages of a kind, in order."""
+def answer(sent: DataFrame, make: Callable[[int, int, list[bytes]], list[bytes]]) -> DataFrame:
+    """``make(kind, shard, messages)`` gives the answers of a shard to the messages of a kind, in order."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        answers = make(group["kind"][0].as_py(), group["message"].to_pylist())
+        answers = make(group["kind"][0].as_py(), group["shard"][0].as_py(), group["message"].to_pylist())
         return pa.table({"shard": group["shard"], "block": group["block"], "kind": group["kind"], "message": pa.array(answers, pa.binary())})
 
     return sent.groupBy("kind", "shard").applyInArrow(run, _MESSAGES)
 
 
-def receive(blocks: DataFrame, answers: DataFrame, make: Callable[[int, pa.Table, dict[tuple[int, int], bytes]], Iterable[pa.Table]], schema: str | StructType) -> DataFrame:
+def receive(blocks: DataFrame, answers: DataFrame, make: Callable[..., Iterable[pa.Table]], schema: str | StructType, unpack: Callable = rows_of) -> DataFrame:
     """``make(block, rows, {(kind, shard): answer})`` gives result tables of each block."""
     names = [f.name for f in schema] if isinstance(schema, StructType) else None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {(k, s): m for k, s, m in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["message"].to_pylist(), strict=True)}
-        out = list(make(left["block"][0].as_py(), rows_of(left["payload"][0].as_buffer()), got))
+        out = list(make(left["block"][0].as_py(), unpack(left["payload"][0].as_buffer()), got))
         return pa.concat_tables(out) if not names else pa.concat_tables(t.rename_columns(names) for t in out)
 
     left = blocks.select("block", "payload").groupBy("block")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import byte_bpe, embeddings, language_id, packing, quality, simhash, suffix_dedup, token_counts, warc
+from allelix.llm import byte_bpe, embeddings, language_id, language_model, packing, quality, simhash, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_packing": packing.op3_packing,
+        "op4_language_model": language_model.op4_language_model,
         "op5_language_id": language_id.op5_language_id,
         "op6_warc": warc.op6_warc,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,

@@ -416,7 +416,7 @@ def remove_repeats(docs: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFra
     blocks = as_blocks(held)
     shards = shard_count(blocks, SHARD_BYTES)
     asked = send(blocks, lambda _, rows: BlockRepeats(rows, shards, large_bucket).samples())
-    ranked = stored(answer(asked, lambda _, sent: rank_samples(sent, large_bucket)))
+    ranked = stored(answer(asked, lambda _kind, _shard, sent: rank_samples(sent, large_bucket)))
 
     def second(block: int, rows: pa.Table, answers: dict) -> Iterable[pa.Table]:
         repeats = BlockRepeats(rows, shards, large_bucket)
@@ -425,7 +425,7 @@ def remove_repeats(docs: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFra
         yield pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([block] * len(out), pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "message": pa.array([x[2] for x in out], pa.binary())})
 
     fine = receive(blocks, ranked, second, "shard long, block long, kind int, message binary")
-    settled = answer(fine, lambda kind, sent: sort_buckets(sent) if kind == RUNS else rank_strings(sent))
+    settled = answer(fine, lambda kind, _shard, sent: sort_buckets(sent) if kind == RUNS else rank_strings(sent))
 
     def last(block: int, rows: pa.Table, answers: dict) -> Iterable[pa.Table]:
         repeats = BlockRepeats(rows, shards, large_bucket)
