@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 2
 #: Rests shared out together: bounds memory, and the padding to about a window for each block.
 BLOCK_RESTS = 2048
-WORD_KEYS, CHUNK_KEYS = 700_000, 300_000
+WORD_KEYS, CHUNK_KEYS = 1_400_000, 600_000
 #: A run of letters whose lower case is one character each, with marks after it: the tokenizer cuts
 #: between the two, and only there.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|#$%&*]*)")
