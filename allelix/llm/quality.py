@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from allelix.llm.blocks import stored
 from allelix.llm.common import table
 from allelix.session import cut
 
@@ -24,6 +25,7 @@ MAX_REPEAT_PERCENT = 50
 FENCE = 4
 #: A sketch of fewer texts gives way to that of the language, then to that of all.
 MIN_GROUP = 30
+BROADCAST_ROWS = 20_000
 #: Metric: the least spread that counts, and whether low values are outliers too.
 METRICS = {
     "symbol_permille": (10, False),
@@ -159,6 +161,8 @@ def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
         inside &= F.col(f"q.{m}") <= F.col(f"fence.high_{m}")
         if both:
             inside &= F.col(f"q.{m}") >= F.col(f"fence.low_{m}")
+    # a row for each language and source; beyond the checked size the join deals by key instead
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source")), "left")
     return joined.withColumn("kept", ~F.col("q.base_failed") & F.coalesce(inside, F.lit(False))).drop("fence_lang", "fence_source", "fence")
 
@@ -170,16 +174,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     repeated rows are judged each; other columns are not read; an empty table gives no rows.
     """
     measured = cut(with_metrics(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "q"))
-    judged = judge(measured, fences(sketches(measured)))
+    judged = judge(measured, cut(fences(cut(sketches(measured)))))
     return judged.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that the quality rules keep."""
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "lang", "source", "text")
-    # the sketches are small; the texts are measured again rather than stored
-    bounds = cut(fences(sketches(with_metrics(docs.select("lang", "source", "text")))))
-    return judge(with_metrics(held), bounds).where("kept").select("doc.*")
+    # measured once: the figures are stored beside the rows, for the sketches and then for the verdict
+    measured = stored(with_metrics(held).select("doc", "lang", "source", "q"))
+    bounds = cut(fences(cut(sketches(measured))))
+    return judge(measured, bounds).where("kept").select("doc.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from allelix.llm import byte_bpe, embeddings, language_id, language_model, packing, quality, simhash, suffix_dedup, token_counts, warc
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": embeddings.op8_embeddings,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_simhash": simhash.op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -176,8 +176,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     A row without a doc_id stays if its component has no doc_id at all. Rows that repeat the
     smallest doc_id of a component give one row of each different text.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["first_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = cut(firsts.groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("n")))
+    same = docs["doc_id"].eqNullSafe(F.col("first_id"))
+    once = docs.join(found.where("n = 1"), same, "left_semi")
+    return once.union(docs.join(found.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
