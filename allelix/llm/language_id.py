@@ -83,6 +83,8 @@ class LanguageModel:
     def mixtures(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Proportions [documents, languages]; ``scores`` has the documents' words in a row."""
         n_docs, n_langs = len(sizes), len(self.languages)
+        if not n_docs or not n_langs:
+            return np.zeros((n_docs, n_langs))
         top = scores.max(axis=1, keepdims=True)
         likelihood = np.exp(np.maximum(scores - top, -60.0))
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -102,8 +104,6 @@ class LanguageModel:
             total = np.log(np.maximum((like * np.repeat(pi, n, axis=0)).sum(axis=1), 1e-300))
             return pi, np.add.reduceat(total, begin)
 
-        if not n_docs:
-            return np.zeros((0, n_langs))
         every = np.arange(n_docs)
         penalty = np.log(sizes + 1.0) + 1.0
         pi, value = fit(np.full((n_docs, n_langs), 1.0 / n_langs), every)
