@@ -8,6 +8,8 @@ the shuffle and no group grows with the number of rows that share a key.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,11 +22,18 @@ from pyspark.sql.types import StructType
 
 from allelix.session import shared_dir
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 Message = tuple[int, bytes]
 
 
+def release() -> None:
+    """Gives freed memory back to the machine, which long-lived workers would hold on to."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def packed_rows(batches: list[pa.RecordBatch]) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -115,6 +124,7 @@ def send(blocks: DataFrame, make: Callable[..., Iterable[tuple[int, int, bytes]]
             for block, payload in zip(batch.column(0), batch.column(1), strict=True):
                 block = block.as_py()
                 yield from messages((shard, block, kind, m) for shard, kind, m in make(block, unpack(payload.as_buffer())))
+                release()
 
     return blocks.select("block", "payload").mapInArrow(run, _MESSAGES)
 
@@ -124,6 +134,7 @@ def answer(sent: DataFrame, make: Callable[[int, int, list[bytes]], list[bytes]]
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
+        release()
         answers = make(group["kind"][0].as_py(), group["shard"][0].as_py(), group["message"].to_pylist())
         return pa.table({"shard": group["shard"], "block": group["block"], "kind": group["kind"], "message": pa.array(answers, pa.binary())})
 
@@ -135,6 +146,7 @@ def receive(blocks: DataFrame, answers: DataFrame, make: Callable[..., Iterable[
     names = [f.name for f in schema] if isinstance(schema, StructType) else None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         got = {(k, s): m for k, s, m in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["message"].to_pylist(), strict=True)}
         out = list(make(left["block"][0].as_py(), unpack(left["payload"][0].as_buffer()), got))
         return pa.concat_tables(out) if not names else pa.concat_tables(t.rename_columns(names) for t in out)

@@ -285,7 +285,7 @@ class BlockRepeats:
         for s in starts:
             np.add.at(change, s, 1)
             np.add.at(change, s + LENGTH, -1)
-        return np.cumsum(change[:-1]) > 0
+        return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 _SAMPLE_RECORD = np.dtype([("sample", "<u8"), ("around", "<u8"), ("kinds", "<u2"), ("repeats", "u1")])
