@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
 
-_TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)|(?P<string>\"[^\"]*\"|'[^']*')|(?P<name>[A-Za-z_][\w./]*)|(?P<op>&&|\|\||==|!=|<=|>=|!~|[-+*/%()\[\],:&|<>=~!]))")
+_TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)|(?P<string>\"[^\"]*\"|'[^']*')|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*)|(?P<op>&&|\|\||==|!=|<=|>=|!~|[-+*/%()\[\],:&|<>=~!]))")
 
 
 class ExpressionError(ValueError):

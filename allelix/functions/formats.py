@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PART = re.compile(r"%(?P<token>[A-Za-z_][A-Za-z0-9_/]*)(?:\{(?P<index>\d+)\})?|(?P<open>\[)|(?P<close>\])|(?P<text>[^%\[\]]+|%)")
+_PART = re.compile(r"%(?P<token>(?:INFO/)?[A-Za-z_][A-Za-z0-9_]*)(?:\{(?P<index>\d+)\})?|(?P<open>\[)|(?P<close>\])|(?P<text>[^%\[\]]+|%)")
 RECORD = {"CHROM": "chrom", "POS": "pos", "ID": "id", "REF": "ref", "ALT": "alt", "QUAL": "qual", "FILTER": "filter"}
 CALL = {"GT": "gt", "DP": "dp", "SAMPLE": "sample_id"}
 

@@ -1 +1,90 @@
-"""Queries of the calling and sequence models."""
+"""Queries of pileup, calling, conversion and sequence models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from allelix.operators import intervals, models
+from allelix.plans import fixtures as fx
+from allelix.plans.registry import query
+from allelix.sources import vcf
+
+S, G, R, AB = (f"WITH {x} " for x in (fx.SITES, f"{fx.SITES}, {fx.GTS}", f"{fx.SITES}, {fx.REGIONS}", f"{fx.SITES}, {fx.SETS}"))
+K = ", ".join(fx.KEY)
+READ_COLUMNS = {"chrom": "chrom", "start": "pos", "seq": "substr('ACGTACGTACGT', CAST(1 + l_partkey % 4 AS INT), 8)", "mapq": "info_dp", "flag": "CAST((l_orderkey % 2) * 16 + CASE WHEN l_partkey % 19 = 0 THEN 1024 ELSE 0 END AS INT)"}
+READS = f"reads AS (SELECT {', '.join(f'{e} AS {n}' for n, e in READ_COLUMNS.items())} FROM sites)"
+PILE = f"{READS}, bases AS (SELECT *, CAST(start + i AS INT) AS pos, substr(seq, CAST(i + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, 8)) AS i FROM reads WHERE mapq >= 5 AND flag & 1796 = 0))"
+
+
+def _reads(spark, sf_dir):
+    return fx.sites(spark, sf_dir).selectExpr(*(f"{e} AS {n}" for n, e in READ_COLUMNS.items()))
+
+
+@query(f"{S}, {PILE} SELECT chrom, pos, count(*) AS depth, count_if(base = 'A') AS n_a, count_if(base = 'C') AS n_c, count_if(base = 'G') AS n_g, count_if(base = 'T') AS n_t, count_if(flag & 16 <> 0) AS reverse, CAST(sum(mapq) AS BIGINT) AS mapq_sum FROM bases GROUP BY chrom, pos")
+def mpileup_counts(spark, sf_dir):
+    return models.pileup(_reads(spark, sf_dir), 5)
+
+
+@query(f"{S}, {PILE}, c AS (SELECT chrom, pos, count_if(base = 'A') AS n_ref, count_if(base <> 'A') AS n_alt FROM bases GROUP BY chrom, pos), p AS (SELECT *, [n_alt * 20, (n_ref + n_alt) * 3, n_ref * 20] AS x FROM c), q AS (SELECT *, list_transform(x, lambda v: v - list_min(x)) AS y FROM p) SELECT chrom, pos, ['0/0', '0/1', '1/1'][list_position(y, 0)] AS gt, least(list_sort(y)[2], 127) AS gq FROM q")
+def call_genotypes(spark, sf_dir):
+    counts = models.pileup(_reads(spark, sf_dir), 5).select("chrom", "pos", F.col("n_a").alias("n_ref"), (F.col("depth") - F.col("n_a")).alias("n_alt"))
+    return models.call_biallelic(counts).select("chrom", "pos", "gt", "gq")
+
+
+@query(f"{G}, w AS (SELECT {K}, list(gt ORDER BY sample_id) AS g FROM gts GROUP BY ALL), d AS (SELECT *, substr(g[3], 1, 1) AS a, substr(g[3], 3, 1) AS b FROM w WHERE len(list_filter([g[1], g[2], g[3]], lambda x: length(x) = 3 AND x NOT LIKE '%.%')) = 3) SELECT ((g[1] LIKE '%' || a || '%' AND g[2] LIKE '%' || b || '%') OR (g[1] LIKE '%' || b || '%' AND g[2] LIKE '%' || a || '%')) AS consistent, count(*) AS n FROM d GROUP BY 1")
+def trio_consistency(spark, sf_dir):
+    fits = models.mendelian(F.col("calls"), 2, 0, 1)
+    return fx.variants(spark, sf_dir).select(fits.alias("consistent")).where("consistent IS NOT NULL").groupBy("consistent").agg(F.count("*").alias("n"))
+
+
+@query(f"{S}, b AS (SELECT chrom, pos, unnest(list_concat([ref], list_filter(string_split(alt, ','), lambda a: regexp_full_match(a, '[ACGT]')))) AS b FROM sites WHERE length(ref) = 1), k AS (SELECT chrom, pos, array_to_string(list_sort(list_distinct(list(b))), '') AS bases FROM b GROUP BY chrom, pos) SELECT chrom, pos, bases, CASE bases {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in models.IUPAC.items())} ELSE bases END AS code FROM k")
+def consensus_codes(spark, sf_dir):
+    return models.consensus_bases(fx.sites(spark, sf_dir))
+
+
+@query(f"{R}, c AS (SELECT s.*, EXISTS (SELECT 1 FROM regions r WHERE r.chrom = s.chrom AND s.pos <= r.end_ AND s.pos + length(s.ref) - 1 >= r.beg) AS coding FROM sites s), e AS (SELECT coding, ref, unnest(string_split(alt, ',')) AS a FROM c) SELECT CASE WHEN NOT coding THEN 'intergenic' WHEN a LIKE '<%' THEN 'feature_truncation' WHEN a = '.' THEN 'reference' WHEN (length(a) - length(ref)) % 3 <> 0 THEN 'frameshift' WHEN length(a) > length(ref) THEN 'inframe_insertion' WHEN length(a) < length(ref) THEN 'inframe_deletion' ELSE 'coding_sequence' END AS consequence, count(*) AS n FROM e GROUP BY 1")
+def csq_classes(spark, sf_dir):
+    sites, regions = fx.sites(spark, sf_dir), fx.regions(spark, sf_dir)
+    hits = intervals.overlap(sites, regions).select(*fx.KEY, F.lit(True).alias("coding"))
+    rows = sites.join(hits, fx.KEY, "left").select("ref", F.coalesce("coding", F.lit(False)).alias("coding"), F.explode(F.split("alt", ",")).alias("a"))
+    return rows.groupBy(models.consequence(F.col("ref"), F.col("a"), F.col("coding")).alias("consequence")).agg(F.count("*").alias("n"))
+
+
+@query(f"{AB}, a2 AS (SELECT DISTINCT chrom, pos, ref, alt, 1 AS m FROM a), b2 AS (SELECT DISTINCT chrom, pos, ref, alt, 2 AS m FROM b), k AS (SELECT sum(m) AS mask FROM (SELECT * FROM a2 UNION ALL SELECT * FROM b2) GROUP BY chrom, pos, ref, alt), n AS (SELECT count_if(mask = 3) AS tp, count_if(mask = 2) AS fp, count_if(mask = 1) AS fn FROM k) SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM n")
+def accuracy_scores(spark, sf_dir):
+    return models.accuracy(fx.set_a(spark, sf_dir), fx.set_b(spark, sf_dir), ["chrom", "pos", "ref", "alt"])
+
+
+@query(f"WITH {fx.REGIONS}, e AS (SELECT chrom, unnest(range(beg, end_ + 1)) AS pos FROM regions) SELECT chrom, CAST(pos AS INT) AS pos, count(*) AS blocks FROM e GROUP BY chrom, pos")
+def convert_expand_blocks(spark, sf_dir):
+    bases = fx.regions(spark, sf_dir).select("chrom", F.explode(F.sequence("beg", "end_")).alias("pos"))
+    return bases.groupBy("chrom", "pos").agg(F.count("*").alias("blocks"))
+
+
+@query(f"{G} SELECT {K}, chrom || ':' || CAST(pos AS VARCHAR) || '_' || ref || '_' || alt || ' ' || CAST(pos AS VARCHAR) || ' ' || ref || ' ' || alt || string_agg(CASE WHEN gt IN ('0/0', '0|0') THEN ' 1 0 0' WHEN gt IN ('0/1', '0|1') THEN ' 0 1 0' WHEN gt = '1/1' THEN ' 0 0 1' ELSE ' 0.33 0.33 0.33' END, '' ORDER BY sample_id) AS line FROM gts WHERE alt NOT LIKE '%,%' AND alt NOT LIKE '<%' AND alt <> '.' GROUP BY chrom, pos, ref, alt, {K}")
+def convert_gen(spark, sf_dir):
+    rows = fx.variants(spark, sf_dir).where(~F.col("alt").rlike("[,<]") & (F.col("alt") != "."))
+    shares = F.transform("calls", lambda c: F.when(c["gt"].isin("0/0", "0|0"), " 1 0 0").when(c["gt"].isin("0/1", "0|1"), " 0 1 0").when(c["gt"] == "1/1", " 0 0 1").otherwise(" 0.33 0.33 0.33"))
+    return rows.select(*fx.KEY, F.concat(F.concat_ws("", "chrom", F.lit(":"), "pos", F.lit("_"), "ref", F.lit("_"), "alt", F.lit(" "), "pos", F.lit(" "), "ref", F.lit(" "), "alt"), F.array_join(shares, "")).alias("line"))
+
+
+@query(f"{G} SELECT {K}, string_agg(CASE WHEN gt LIKE '%.%' THEN '? ?' WHEN length(gt) = 1 THEN gt || ' -' WHEN gt LIKE '%|%' THEN replace(gt, '|', ' ') ELSE substr(gt, 1, 1) || '* ' || substr(gt, 3, 1) || '*' END, ' ' ORDER BY sample_id) AS line FROM gts GROUP BY {K}")
+def convert_hap(spark, sf_dir):
+    one = lambda c: F.when(c["gt"].contains("."), "? ?").when(F.length(c["gt"]) == 1, F.concat(c["gt"], F.lit(" -"))).when(c["gt"].contains("|"), F.replace(c["gt"], F.lit("|"), F.lit(" "))).otherwise(F.concat(F.replace(c["gt"], F.lit("/"), F.lit("* ")), F.lit("*")))
+    return fx.variants(spark, sf_dir).select(*fx.KEY, F.array_join(F.transform("calls", one), " ").alias("line"))
+
+
+@query(f"{S} SELECT chrom || chr(9) || CAST(pos AS VARCHAR) || chr(9) || id || chr(9) || ref || chr(9) || alt || chr(9) || coalesce(regexp_replace(regexp_replace(printf('%.6f', qual), '0+$', ''), '\\.$', ''), '.') || chr(9) || filter || chr(9) || 'DP=' || CAST(info_dp AS VARCHAR) AS line FROM sites")
+def vcf_lines(spark, sf_dir):
+    sites = fx.sites(spark, sf_dir)
+    return sites.select(vcf.lines(sites).alias("line"))
+
+
+@query()
+def roh_segments(spark, sf_dir):
+    return models.autozygous_segments(fx.genotypes(spark, sf_dir))
+
+
+@query()
+def polysomy_components(spark, sf_dir):
+    return models.mixture_components(fx.genotypes(spark, sf_dir).select("chrom", F.col("dp").alias("bin")), 61)

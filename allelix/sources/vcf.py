@@ -81,7 +81,7 @@ class VcfReader(DataSourceReader):
                 yield from (x.rstrip("\r\n") for x in text)
             return
         with store.open_input_file(span.path) as raw:
-            data = io.BufferedReader(raw, 1 << 20) if not hasattr(raw, "readline") else raw
+            data = io.BufferedReader(raw, 1 << 20)
             # a line belongs to the span that holds its first byte
             data.seek(max(0, span.start - 1))
             if span.start:
@@ -116,7 +116,7 @@ def info_map(info: Column) -> Column:
 
 def shown_number(x: Column) -> Column:
     """A number with at most six decimals and no trailing zeros."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), "\\.$", ""), F.lit("."))
+    return F.when(x.isNull(), ".").otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), "\\.$", ""))
 
 
 def lines(records: DataFrame) -> Column:
@@ -139,7 +139,7 @@ def write_vcf(records: DataFrame, path: str, contigs: list[str], samples: list[s
         first = True
         for batch in batches:
             if first:
-                yield pa.RecordBatch.from_arrays([pa.array(header)], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(header, batch.schema.types[0])], schema=batch.schema)
                 first = False
             yield batch
 
