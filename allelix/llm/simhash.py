@@ -178,9 +178,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     found = cut(firsts.groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("n")))
-    same = docs["doc_id"].eqNullSafe(F.col("first_id"))
-    once = docs.join(found.where("n = 1"), same, "left_semi")
-    return once.union(docs.join(found.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once, often = found.where("n = 1"), found.where("n > 1")
+    single = docs.join(once, docs["doc_id"].eqNullSafe(once["first_id"]), "left_semi")
+    return single.union(docs.join(often, docs["doc_id"].eqNullSafe(often["first_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

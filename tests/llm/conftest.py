@@ -2,13 +2,13 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, q string, fp long, block string, word string, words string, score double, n_words long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, q string, fp long, block string, word string, words string, score double, n_words long, first_id long"
 
 
 def documents(spark, texts, ids=None, langs=None):
     """Documents with more columns, named like those that the operators make."""
     ids = range(len(texts)) if ids is None else ids
-    rows = [(d, t, langs[i] if langs else "en", None if i % 3 == 0 else f"s{i % 2}", None if t is None else len(t), True, "x", 7, "b", None, "w", 0.5, 3) for i, (d, t) in enumerate(zip(ids, texts, strict=True))]
+    rows = [(d, t, langs[i] if langs else "en", None if i % 3 == 0 else f"s{i % 2}", None if t is None else len(t), True, "x", 7, "b", None, "w", 0.5, 3, 1) for i, (d, t) in enumerate(zip(ids, texts, strict=True))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
