@@ -29,7 +29,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Rests shared out together: bounds memory, and the padding to about a window for each block.
 BLOCK_RESTS = 2048
-WORD_KEYS, CHUNK_KEYS = 1_400_000, 600_000
+#: Words held by a worker; fewer cost time, never results.
+WORD_KEYS = 1_400_000
 #: A run of letters whose lower case is one character each, with marks after it: the tokenizer cuts
 #: between the two, and only there.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|#$%&*]*)")
@@ -42,13 +43,13 @@ class WordTokenizer:
     from marks, so that a text's ids are those of its words and marks in a row.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORD_KEYS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks, self.words = BoundedCache(CHUNK_KEYS), BoundedCache(WORD_KEYS)
+        self.chunks, self.words = BoundedCache(words * 3 // 7), BoundedCache(words)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,8 +84,8 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, words: int) -> WordTokenizer:
+    return WordTokenizer(path, words)
 
 
 def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -204,7 +205,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _FIELDS = [f.split() for f in SCHEMA.split(", ")]
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, words: int = WORD_KEYS) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most ``capacity`` tokens.
 
     A null or empty text is the end id alone; null doc_ids stay null; repeated rows are packed each;
@@ -222,7 +223,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _FIELDS]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f[0] for f in _FIELDS])
 
-        engine = word_tokenizer(path)
+        engine = word_tokenizer(path, words)
         for batch, texts in chunks(batches):
             for doc, ids in zip(batch.column(0).to_pylist(), engine.packed(texts), strict=True):
                 packer.add(doc, ids + end)

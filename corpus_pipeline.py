@@ -36,7 +36,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in token sequences."""
-    return packing.pack(docs)
+    # workers of this stage live on while others begin: they hold fewer words than op3's
+    return packing.pack(docs, words=400_000)
 
 
 STAGES = [
