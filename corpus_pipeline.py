@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import language_id, packing, quality, simhash, suffix_dedup
+from allelix.llm import language_id, near_copies, packing, quality, suffix_dedup
 from allelix.session import shared_dir
 
 
@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """The document of smallest id of each group of near copies (5-word Jaccard similarity 0.8 or more)."""
+    return near_copies.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from allelix.llm import blocks, embeddings, graph, simhash, suffix_dedup
+import corpus_pipeline
+from allelix.llm import blocks, embeddings, graph, near_copies, simhash, suffix_dedup
 
 
 def brute_components(n, pairs):
@@ -65,6 +66,63 @@ def test_fingerprints_and_components(make, odd_texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([3, *set(smallest.values())])
 
 
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+@pytest.mark.parametrize("sample,tile", [(10_000, 512), (0, 7)])
+def test_near_copies_against_brute_force(spark, make, odd_texts, sample, tile, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rnd = random.Random(12)
+    draw = lambda n: [f"w{rnd.randint(0, 900)}" for _ in range(n)]
+    common = draw(30)
+    texts = list(odd_texts)
+    for _ in range(25):
+        base = draw(rnd.randint(20, 250))
+        for changes in range(8):  # about 5 shingles of each change: similarities on both sides of 0.8
+            words = list(base)
+            for at in rnd.sample(range(len(words)), min(changes, len(words))):
+                words[at] = "new"
+            texts.append(" ".join(words))
+    texts += [" ".join(common + draw(rnd.randint(0, 12))) for _ in range(30)]
+    whole = draw(40)
+    texts += [" ".join(whole[:36]), " ".join(whole)]  # 32 of 36 shingles
+    texts += [" ".join(whole[:n]) for n in (33, 29)]
+    ids = [*range(5, len(texts) + 3), None, 5]
+    sets = [brute_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = brute_components(len(texts), near)
+    first = {}
+    for i, r in enumerate(roots):
+        first[r] = min(first.get(r, (True, 0)), (ids[i] is None, ids[i] or 0))
+    got = near_copies.keep_first(make(texts, ids))
+    assert got.columns == make(texts).columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(first.values())
+    assert near_copies.keep_first(make([])).collect() == []
+
+
+def test_pipeline_removes_near_copies(spark, make, tmp_path):
+    rnd = random.Random(13)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
+    texts = []
+    for k in range(5):  # four changed words: 20 of 196 shingles
+        words = list(base)
+        for at in range(10 + k, 200, 50) if k else ():
+            words[at] = f"new{k}"
+        texts.append(" ".join(words))
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, make(texts), str(tmp_path)).collect()] == [0]
+
+
+def test_repeated_ids_leave_one_row_of_each_group(make):
+    rnd = random.Random(14)
+    a, b = (" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(100)) for _ in range(2))
+    # 2 is the first of b's group only: its row in a's group goes
+    kept = near_copies.keep_first(make([a, a + " x", b, b, b + " x"], [1, 2, 2, 2, 3])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (2, b)]
+
+
 @pytest.mark.parametrize("shard_rows", [20_000, 8])
 def test_links_of_dense_fingerprints(spark, shard_rows):
     rng = np.random.default_rng(3)
