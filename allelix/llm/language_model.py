@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from allelix.llm.blocks import answer, as_blocks, receive, send, shard_count, stored
 from allelix.llm.common import table
 
-ORDER = 2
+ORDER = 3
 DISCOUNT = 0.75
 ADDED = 0.1
 FOLDS, HELD_OUT = 10, 0

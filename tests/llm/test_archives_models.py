@@ -126,6 +126,14 @@ def test_scores_against_brute_force(make, odd_texts, order, split, block, monkey
     assert language_model.score_documents(make([])).collect() == []
 
 
+def test_query_scores_with_trigrams(spark, make, tmp_path):
+    rnd = random.Random(17)
+    texts = [" ".join(rnd.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(30)) for _ in range(60)]
+    make(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = language_model.op4_language_model(spark, str(tmp_path)).collect()
+    assert sorted(round(r.score, 6) for r in rows) == sorted(x[-1] for x in brute_scores(texts, range(60), 3, 10_000))
+
+
 def test_blocks_hold_every_row(make, odd_texts):
     held = blocks.as_blocks(make(odd_texts).select("doc_id", "text"), block_bytes=500)
     rows = [r for b in held.collect() for r in blocks.rows_of(b.payload).to_pylist()]
