@@ -1,26 +1,26 @@
-"""Session helpers: the shared scratch folder and lineage cuts that survive lost executors."""
+"""Session helpers: the shared scratch folder, lineage cuts that survive lost executors, shipping of this package."""
 
 from __future__ import annotations
 
 import os
-import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a folder of our own is made and set.
+    Only where that is unset (local tests) a folder inside the warehouse is set.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="allelix-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/allelix-checkpoints")
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
@@ -32,8 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the repository folder."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if REPO not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([REPO, *parts])
+    """Send this package to the Python workers, once for each context; Spark serves the archive from the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_allelix_shipped", False):
+        return
+    archive = os.path.join(context._temp_dir, "allelix.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+    context.addPyFile(archive)
+    context._allelix_shipped = True
