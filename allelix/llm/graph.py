@@ -11,31 +11,51 @@ from pyspark.sql import functions as F
 
 from allelix.session import cut
 
-MAX_ROUNDS = 64
+#: Links of one node from which on it is a hub: there are at most twice as many hubs as ``links / HUB_LINKS``.
+HUB_LINKS = 100_000
+#: Hubs that are sent to all workers at most (16 bytes each); with more links a hub needs more of them.
+MOST_HUBS = 50_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def with_smallest(rows: DataFrame, low: DataFrame, least: int) -> DataFrame:
+    """``rows`` (a, b) with the number m of ``low`` (k, m, n) for each a, without one task for the rows of a hub.
+
+    Hubs, nodes with more than ``least`` rows, are looked up where the rows are: their table is
+    broadcast, and its size is bounded through ``least``. All others are joined by a shuffle.
+    """
+    hubs = F.broadcast(low.where(F.col("n") > least).select(F.col("k").alias("hub"), F.col("m").alias("hub_m")))
+    marked = rows.join(hubs, F.col("a") == F.col("hub"), "left")
+    of_hubs = marked.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m"))
+    others = marked.where("hub IS NULL").select("a", "b").join(low.where(F.col("n") <= least), F.col("a") == F.col("k")).select("a", "b", "m")
+    return of_hubs.union(others)
+
+
+def components(edges: DataFrame, hub_links: int = HUB_LINKS) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node of its component.
 
-    Alternating large and small stars. Every round is an aggregation and a join by node, each of
-    which combines before its shuffle, and is stored in the shared checkpoint folder. Self-links and
-    repeated links do no harm; rows with a null are left out; a node with self-links only is missing.
+    Alternating large and small stars, until a round changes nothing: the number of rounds grows with
+    the logarithm of the longest path. Minima are combined before their shuffle; the joins that follow
+    look hubs up without a shuffle (``with_smallest``). Each round is stored in the shared checkpoint
+    folder. Self-links and repeated links do no harm; rows with a null are left out; a node with
+    self-links only is missing.
     """
     links = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(MAX_ROUNDS):
+    now, before = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first(), None
+    while now != before:
+        least = max(hub_links, 4 * now[0] // MOST_HUBS)
+        smallest = lambda x: x.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+
+        def spread(rows: DataFrame, low: DataFrame) -> DataFrame:
+            # a node can't have more rows than there are
+            return with_smallest(rows, low, least) if 2 * now[0] > least else rows.join(low, F.col("a") == F.col("k")).select("a", "b", "m")
+
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        pairs = large.join(low, F.col("a") == F.col("k")).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))))
+        low = smallest(both).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
+        large = spread(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = smallest(large).select(F.col("a").alias("k"), "m", "n")
+        pairs = spread(large, low).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))))
         links = cut(pairs.where("a <> b").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components are not found after {MAX_ROUNDS} rounds")
+        before, now = now, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 

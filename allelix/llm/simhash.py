@@ -1,15 +1,20 @@
 """SimHash near-duplicates searched with BK-trees.
 
 Distinct fingerprints are dealt to shards so that any two within the radius meet in at least one:
-the 64 bits are cut into blocks, and of radius + b blocks two such fingerprints agree in b. A shard's
-fingerprints form a BK-tree whose children are keyed by their distance to the parent; a search
-follows only the edges that the triangle inequality leaves within the radius. A shard gives back
-a spanning forest of its links, from which components are made.
+the 64 bits are cut into blocks, and of radius + b blocks two such fingerprints agree in b. Only as many
+of the agreeing bits are used as leave a shard some thousand fingerprints. Each shard's fingerprints
+form a BK-tree whose children are keyed by their distance to the parent; a search follows only the
+edges that the triangle inequality leaves within the radius. A shard gives back a spanning forest of its
+links, from which components are made.
+
+Trees are built and searched in the shard's own task. They are not broadcast: together they hold all
+fingerprints, which have no bound and may not pass through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,13 +25,16 @@ from pyspark.sql import functions as F
 
 from allelix.llm.common import chunks, table
 from allelix.llm.graph import components, key_runs, local_roots
-from allelix.session import cut
+from allelix.session import cut, ship_package
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
-LEAF = 48
-QUERIES = 256
-#: A shard of more fingerprints is dealt out anew, by more of its bits.
-SHARD_ROWS = 20_000
+LEAF = 16
+#: Points that look for their links in one walk through a tree.
+QUERIES = 4096
+#: Fingerprints of a shard, about.
+TREE_ROWS = 4096
+#: A shard of more fingerprints is dealt out anew, by more of their bits, as often as it takes.
+SHARD_ROWS = 32_768
 
 
 def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
@@ -50,6 +58,7 @@ class BKTree:
 
     def __init__(self, points: np.ndarray):
         self.points = points
+        self.followed = self.left_out = 0  # edges of nodes that a search came to
         # a node is (index of its point, {distance: child}) or an array of indices
         self.root = self._build(np.arange(len(points)))
 
@@ -88,9 +97,10 @@ class BKTree:
             found_q.append(hit)
             found_p.append(np.full(len(hit), center))
             for edge, child in children.items():
-                on = np.abs(far - edge) <= radius
-                if on.any():
-                    stack.append((child, asked[on]))
+                on = asked[np.abs(far - edge) <= radius]
+                self.followed, self.left_out = self.followed + len(on), self.left_out + len(asked) - len(on)
+                if len(on):
+                    stack.append((child, on))
         return np.concatenate(found_q), np.concatenate(found_p)
 
 
@@ -104,33 +114,46 @@ def forest(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return points[linked], points[roots[linked]]
 
 
-def routes(radius: int, blocks: int) -> list[int]:
-    """Bit masks, of which two fingerprints within ``radius`` agree in all bits of at least one."""
+def routes(radius: int, blocks: int, bits: int = 64) -> list[int]:
+    """Bit masks, of which two fingerprints within ``radius`` agree in all bits of at least one; of each at most ``bits``."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [sum(1 << b for b in range(x, y)) for x, y in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(parts, blocks - radius)]
+    agree = blocks - radius
+    parts = [[1 << b for b in range(x, y)] for x, y in zip(cuts, cuts[1:], strict=False)]
+    # the bits are taken from all agreeing blocks in turn
+    share = [[bits // agree + (i < bits % agree) for i in range(agree)] for _ in parts]
+    return [sum(sum(part[: share[0][i]]) for i, part in enumerate(chosen)) for chosen in combinations(parts, agree)]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """Every row once for each mask, with the mask's number added to ``shard`` and its bits as ``key``."""
-    keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
-    return rows.select("fp", "shard", F.inline(keys)).select(F.when(F.col("shard") == 0, F.col("i").cast("long") + 1).otherwise(F.xxhash64("shard", "i")).alias("shard"), "key", "fp")
+def _dealt(rows: DataFrame, masks: list[int], first_shard: int = 0) -> DataFrame:
+    """Every fingerprint once for each mask: the mask's number as ``shard``, its bits as ``key``."""
+    keys = F.array(*(F.struct(F.lit(first_shard + i).alias("shard"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
+    return rows.select("fp", F.inline(keys)).select("shard", "key", "fp")
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) of distinct fingerprints (column fp) that connect all those within ``radius``."""
+    ship_package(fingerprints.sparkSession)
     n = fingerprints.count()
-    blocks = radius + (1 if n < 1 << 22 else 2 if n < 1 << 32 else 3)
-    dealt = _dealt(fingerprints.select("fp", F.lit(0).cast("long").alias("shard")), routes(radius, blocks))
-    large = cut(dealt.groupBy("shard", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select(F.col("shard").alias("large_shard"), F.col("key").alias("large_key")))
-    if not large.isEmpty():
+    bits = max(0, (n // tree_rows).bit_length() - 1)
+    # the fewest blocks that agree and have so many bits
+    blocks = next(b for b in range(radius + 1, 65) if (b - radius) * (64 // b) >= bits or b == 64)
+    masks = routes(radius, blocks, bits)
+    dealt, n_shards = _dealt(fingerprints, masks), len(masks)
+    settled: list[DataFrame] = []
+    # those in large shards are dealt anew by more of their bits; in the last turn no shard can be large
+    for finer in (radius + 5, radius + 9, radius + 13):
+        large = cut(dealt.groupBy("shard", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select(F.col("shard").alias("large_shard"), F.col("key").alias("large_key")))
+        if large.isEmpty():
+            break
         known = dealt.join(large, (F.col("shard") == F.col("large_shard")) & (F.col("key") == F.col("large_key")), "left")
-        fine = _dealt(known.where("large_key is not null").select("fp", F.xxhash64("shard", "key").alias("shard")), routes(radius, radius + 5))
-        dealt = known.where("large_key is null").select("shard", "key", "fp").union(fine)
+        settled.append(known.where("large_key is null").select("shard", "key", "fp"))
+        masks = routes(radius, finer)
+        dealt, n_shards = _dealt(known.where("large_key is not null").select("fp").distinct(), masks, n_shards), n_shards + len(masks)
+    dealt = reduce(DataFrame.union, [*settled, dealt])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, fp in key_runs(batches, 2):
@@ -149,6 +172,7 @@ def with_fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             found = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
+    ship_package(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -170,18 +194,6 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component.
-
-    A row without a doc_id stays if its component has no doc_id at all. Rows that repeat the
-    smallest doc_id of a component give one row of each different text.
-    """
-    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = cut(firsts.groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("n")))
-    once, often = found.where("n = 1"), found.where("n > 1")
-    single = docs.join(once, docs["doc_id"].eqNullSafe(once["first_id"]), "left_semi")
-    return single.union(docs.join(often, docs["doc_id"].eqNullSafe(often["first_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprint and component_id of every row of documents: see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
