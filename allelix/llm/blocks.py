@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from allelix.session import shared_dir
+from allelix.session import shared_dir, ship_package
 
 BLOCK_BYTES = 6 << 20
 
@@ -74,6 +74,7 @@ def as_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
         if held:
             yield block()
 
+    ship_package(docs.sparkSession)
     path = f"{shared_dir(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
     schema = "block long, n_bytes long, payload binary"
     docs.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
@@ -135,8 +136,9 @@ def answer(sent: DataFrame, make: Callable[[int, int, list[bytes]], list[bytes]]
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         release()
-        answers = make(group["kind"][0].as_py(), group["shard"][0].as_py(), group["message"].to_pylist())
-        return pa.table({"shard": group["shard"], "block": group["block"], "kind": group["kind"], "message": pa.array(answers, pa.binary())})
+        answers = pa.array(make(group["kind"][0].as_py(), group["shard"][0].as_py(), group["message"].to_pylist()), pa.binary())
+        release()
+        return pa.table({"shard": group["shard"], "block": group["block"], "kind": group["kind"], "message": answers})
 
     return sent.groupBy("kind", "shard").applyInArrow(run, _MESSAGES)
 
@@ -149,6 +151,8 @@ def receive(blocks: DataFrame, answers: DataFrame, make: Callable[..., Iterable[
         release()
         got = {(k, s): m for k, s, m in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["message"].to_pylist(), strict=True)}
         out = list(make(left["block"][0].as_py(), unpack(left["payload"][0].as_buffer()), got))
+        del got
+        release()
         return pa.concat_tables(out) if not names else pa.concat_tables(t.rename_columns(names) for t in out)
 
     left = blocks.select("block", "payload").groupBy("block")

@@ -18,7 +18,7 @@ a contiguous run of starts around it.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,7 @@ LENGTH, SAMPLE = 200, 96
 REACH = LENGTH - SAMPLE  # furthest that a string starts before its sample
 WINDOW = REACH + 1
 #: Bytes worked on at once; longer texts are cut into overlapping parts.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 #: Different runs around one sample from which on its bucket is split by fingerprints.
 LARGE_BUCKET = 2_000
 SHARD_BYTES = 24 << 20
@@ -403,14 +403,26 @@ def sort_buckets(sent: list[bytes]) -> list[bytes]:
 
 
 EXTRA = "n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def found_rows(rows: pa.Table, sizes: np.ndarray, spans: list[list[dict]], raw: bytes) -> pa.Table:
+    """The table of ``remove_repeats`` for a block's rows."""
+    kept, removed, at = [], [], 0
+    for n, gone in zip(sizes.tolist(), spans, strict=True):
+        edges = [0, *(x for s in gone for x in (s["start"], s["stop"])), n]
+        kept.append(b"".join(raw[at + a : at + b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        removed.append(n - len(kept[-1]))
+        at += n
+    return pa.table({"doc": rows["doc"], "n_bytes": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, _SPANS), "kept": pa.array(kept, pa.binary())})
+
+
+def remove_repeats(docs: DataFrame, large_bucket: int = LARGE_BUCKET, finish: Callable[..., pa.Table] = found_rows, schema: StructType | None = None) -> DataFrame:
     """All columns of ``docs`` in a struct ``doc``, with n_bytes, n_removed, the removed spans and the bytes kept.
 
     Every byte is removed that lies in a string of ``LENGTH`` bytes which starts anywhere else too,
     in the same text or another one. Null, empty and shorter texts lose nothing; repeated rows are
-    copies of each other; an empty table gives no rows.
+    copies of each other; an empty table gives no rows. ``finish`` makes other rows, of ``schema``.
     """
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text").alias("text"))
     blocks = as_blocks(held)
@@ -431,23 +443,13 @@ def remove_repeats(docs: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFra
         repeats = BlockRepeats(rows, shards, large_bucket)
         gone = repeats.covered(answers)
         starts = (repeats.ends - repeats.sizes).tolist()
-        spans, kept, removed = [], [], []
+        spans = []
         for a, n in zip(starts, repeats.sizes.tolist(), strict=True):
-            mine = gone[a : a + n]
-            if not mine.any():
-                spans.append([])
-                kept.append(repeats.raw[a : a + n])
-                removed.append(0)
-                continue
-            edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0))
+            edge = np.flatnonzero(np.diff(gone[a : a + n].astype(np.int8), prepend=0, append=0))
             spans.append([{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)])
-            kept.append(repeats.data[a : a + n][~mine].tobytes())
-            removed.append(int(mine.sum()))
-        kinds = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.table({"doc": rows["doc"], "n_bytes": pa.array(repeats.sizes), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, kinds), "kept": pa.array(kept, pa.binary())})
+        yield finish(rows, repeats.sizes, spans, repeats.raw)
 
-    schema = StructType([held.schema["doc"], *_parse_datatype_string(EXTRA)])
-    return receive(blocks, ranked.union(settled), last, schema)
+    return receive(blocks, ranked.union(settled), last, schema or StructType([held.schema["doc"], *_parse_datatype_string(EXTRA)]))
 
 
 def without_spans(text: str, spans: list[dict]) -> str:
@@ -460,24 +462,25 @@ def without_spans(text: str, spans: list[dict]) -> str:
 
 
 def keep_unrepeated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without the repeated strings of their texts; n_chars follows."""
-    found = remove_repeats(docs).select("doc", "spans")
-    schema = docs.schema
+    """The rows of ``docs``, all columns, without the repeated strings of their texts; n_chars follows.
+
+    Null texts stay null and null n_chars of null texts too; a text that is repeated as a whole
+    becomes empty; every other case is that of ``remove_repeats``.
+    """
     names = docs.columns
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.column(0).flatten()
-            texts = columns[names.index("text")].to_pylist()
-            texts = [t if not s else without_spans(t, s) for t, s in zip(texts, batch.column(1).to_pylist(), strict=True)]
-            columns[names.index("text")] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[names.index("n_chars")].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    def finish(rows: pa.Table, sizes: np.ndarray, spans: list[list[dict]], raw: bytes) -> pa.Table:
+        columns = dict(zip(names, rows["doc"].combine_chunks().flatten(), strict=True))
+        texts = [t if not s else without_spans(t, s) for t, s in zip(columns["text"].to_pylist(), spans, strict=True)]
+        columns["text"] = pa.array(texts, pa.string())
+        if "n_chars" in names:
+            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns["n_chars"].type)
+        return pa.table(columns)
 
-    return found.mapInArrow(run, schema)
+    return remove_repeats(docs, finish=finish, schema=docs.schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ``remove_repeats`` over all documents; a null doc_id stays null."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("doc.doc_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
