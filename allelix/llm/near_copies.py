@@ -1,14 +1,17 @@
-"""Near copies of documents: five-word shingle sets of Jaccard similarity 0.8 or more, found exactly.
+"""One document of each group of near copies: SimHash and BK-trees first, then an exact check and the rest.
 
-SimHash distances only estimate that similarity, and a radius that misses nothing at 0.8 would
-leave its trees nothing to prune. So shingle sets are joined by their prefixes: in any one order of
-all shingles, two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each. The
-order puts shingles that a sample knows as frequent last; any order gives the same result. Pairs that
-share one, and whose sizes and places allow the similarity, are verified by their whole sets.
+Documents are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A list of g sets does not cost g * g checks where they are copies of each other: leaders are checked
-first, and in the last round only pairs whose sets are not yet in one component. Equality of shingles
-and of whole sets rests on 64-bit hashes.
+1. Every text gets the SimHash of its five-word shingles; BK-trees (``simhash.links``) name pairs within
+   three bits, which are checked by their whole shingle sets and united.
+2. Sets at a similarity of 0.8 differ in about ten bits, at which a BK-tree has nothing left to leave
+   out. So what the trees can't see is found by prefixes of the sets: in any one order of all shingles, two
+   sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each. The order puts
+   shingles that a sample knows as frequent last; any order gives the same result. Pairs that share
+   one, whose sizes and places allow the similarity and which are not in one group yet are checked.
+
+The check first bounds the overlap by numbers of shingles in 256 parts, which loses no pair, and compares
+whole sets of what is left. Equality of shingles and of whole sets rests on 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelix.llm.blocks import release, stored
 from allelix.llm.common import BoundedCache, chunks
 from allelix.llm.graph import components, key_runs
-from allelix.session import cut
+from allelix.llm.simhash import RADIUS
+from allelix.llm.simhash import links as tree_links
+from allelix.session import cut, ship_package
 
 WIDTH, SEED = 5, 42
 #: Similarity as a fraction.
@@ -31,23 +37,53 @@ OVER, UNDER = 4, 5
 SAMPLE_ROWS = 10_000
 #: Shingles known as frequent, at most: the only thing that is sent to all workers beside the slots.
 FREQUENT = 100_000
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 SLOTS = 1 << 23
 TILE = 512
 SETS = 256
+WORD_KEYS = 200_000
+PARTS = 256
+_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; results never depend on what it holds."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_KEYS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
 
 
-def shingles(text: str) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _FACTORS[1]
+    h = (h ^ (h >> np.uint64(27))) * _FACTORS[2]
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: str, known: WordHashes) -> np.ndarray:
     """Distinct shingle hashes in ascending order; a text of fewer words is one shingle, one without words none."""
     words = text.encode().lower().split()  # ASCII letters and ASCII white space only
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1])).tolist()
-    ends = (ends - 1).tolist()
-    found = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[WIDTH - 1 :], strict=False)] or [xxhash.xxh64_intdigest(joined, SEED)]
-    return np.unique(np.array(found, dtype=np.uint64))
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    width = min(WIDTH, len(h))
+    n = len(h) - width + 1
+    total = np.full(n, width, dtype=np.uint64)
+    for i in range(width):
+        total = mixed(total * _FACTORS[0] + h[i : i + n])
+    return np.unique(total)
+
+
+def fingerprint(held: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed number; zero for the empty set."""
+    if not len(held):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(held), 1 << 15):
+        ones += np.unpackbits(held[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(held), bitorder="little").view("<i8")[0])
 
 
 def name(held: np.ndarray) -> int:
@@ -60,12 +96,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return (OVER + UNDER) * both >= OVER * (len(a) + len(b))
 
 
+def part_counts(held: np.ndarray) -> bytes:
+    """Shingles in each of ``PARTS`` parts, nothing if a number is over 255."""
+    n = np.bincount((held & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, ranks): the most frequent shingles of a sample of texts, ascending; more frequent ones have larger ranks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for _, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in texts]).view(np.int64))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, known) for t in texts]).view(np.int64))], names=["key"])
 
     n = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
@@ -90,30 +133,37 @@ def prefix(held: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return held[np.argsort(rank, kind="stable")][: n - -(-OVER * n // UNDER) + 1]
 
 
+MARKED = "doc_id long, th long, rep long, fp long, size int, parts binary, prefix array<long>"
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, and the shingle set's name, of every row."""
+    """doc_id, a hash of the text, the shingle set's name, and, in the first row of a set in each task, what belongs to the set."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, met = WordHashes(), set()
         for batch, texts in chunks(batches):
-            names = np.array([name(shingles(t)) for t in texts], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names)], names=["doc_id", "th", "rep"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, rep long")
-
-
-def shared_prefixes(docs: DataFrame) -> DataFrame:
+            out: list[list] = [[] for _ in range(5)]
+            for text in texts:
+                held = shingles(text, known)
+                rep = name(held)
+                row = (rep, None, None, None, None)
+                if rep not in met:
+                    met.add(rep)
+                    row = (rep, fingerprint(held), len(held), part_counts(held), prefix(held, sent.value).view(np.int64))
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            if len(met) > WORD_KEYS:
+                met.clear()
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[f.split()[0] for f in MARKED.split(", ")])
+        release()
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, MARKED)
+
+
+def shared_prefixes(rows: DataFrame) -> DataFrame:
     """(key, rep, size, pos): places of the prefixes' shingles that several sets hold."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            sets = [shingles(t) for t in texts]
-            first = [prefix(s, sent.value) for s in sets]
-            n = np.array([len(p) for p in first])
-            reps = np.array([name(s) for s in sets], dtype=np.int64)
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n.tolist()])
-            sizes = np.array([len(s) for s in sets], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(reps, n)), pa.array(np.repeat(sizes, n)), pa.array(pos)], names=["key", "rep", "size", "pos"])
 
     def several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rep, size, pos in key_runs(batches, 1):
@@ -121,8 +171,8 @@ def shared_prefixes(docs: DataFrame) -> DataFrame:
             if len(rep) > 1:
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(rep), pa.array(size[at]), pa.array(pos[at])], names=["key", "rep", "size", "pos"])
 
-    schema = "key long, rep long, size int, pos int"
-    return docs.select("text").mapInArrow(place, schema).repartition("key").sortWithinPartitions("key").mapInArrow(several, schema)
+    placed = rows.where("prefix IS NOT NULL").select("rep", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "rep", "size", "pos")
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, rep long, size int, pos int")
 
 
 def possible(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -131,6 +181,17 @@ def possible(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return (OVER + UNDER) * rest >= OVER * (size[i].astype(np.int64) + size[j])
 
 
+def tree_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs of sets (a, b) whose fingerprints are linked by the trees, and of sets of one fingerprint."""
+    sets = rows.where("prefix IS NOT NULL").select("fp", "rep").distinct()
+    first = cut(sets.groupBy("fp").agg(F.min("rep").alias("first")))
+    joined = tree_links(first.select("fp"), radius)
+    one, two = (first.select(F.col("fp").alias(f"{x}_fp"), F.col("first").alias(f"{x}_first")) for x in "ab")
+    linked = joined.join(one, F.col("a") == F.col("a_fp")).join(two, F.col("b") == F.col("b_fp")).select(F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    same = sets.join(first.select(F.col("fp").alias("f"), F.col("first").alias("x")), F.col("fp") == F.col("f")).select("x", F.col("rep").alias("y")).where("x <> y")
+    return linked.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def pairs(lists: DataFrame, linked: DataFrame | None, leaders: int | None) -> DataFrame:
     """Distinct pairs (a, b) of each list that may be alike and are not in one component yet.
 
@@ -156,19 +217,46 @@ def pairs(lists: DataFrame, linked: DataFrame | None, leaders: int | None) -> Da
     return named.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(found: DataFrame, texts: DataFrame) -> DataFrame:
+def bounded(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose parts leave room for the similarity."""
+    sets = rows.where("prefix IS NOT NULL").select("rep", "size", "parts").dropDuplicates(["rep"])
+    left, right = (sets.select(*(F.col(c).alias(f"{x}_{c}") for c in ("rep", "size", "parts"))) for x in "ab")
+    joined = found.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep")).select("a", "b", "a_size", "b_size", "a_parts", "b_parts")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 4096):
+                batch = whole.slice(begin, 4096)
+                sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+                ok = np.ones(batch.num_rows, dtype=bool)
+                two = [batch.column(k).to_pylist() for k in (4, 5)]
+                stated = np.flatnonzero([len(x) > 0 and len(y) > 0 for x, y in zip(*two, strict=True)])
+                if len(stated):
+                    x, y = (np.frombuffer(b"".join([t[i] for i in stated.tolist()]), dtype=np.uint8).reshape(-1, PARTS) for t in two)
+                    both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                    ok[stated] = (OVER + UNDER) * both >= OVER * sizes[stated]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def verified(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose whole sets are alike."""
+    likely = cut(bounded(found, rows))
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    hashes = rows.join(wanted, F.col("rep") == F.col("node"), "left_semi").groupBy("rep").agg(F.min("th").alias("th")).select("th")
+    texts = cut(texts_of(docs, hashes))
     left, right = (texts.select(F.col("rep").alias(f"{x}_rep"), F.col("text").alias(f"{x}_text")) for x in "ab")
-    joined = found.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep")).select("a", "b", "a_text", "b_text")
+    joined = likely.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep")).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = BoundedCache(SETS)
+        known, held = WordHashes(), BoundedCache(SETS)
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             ok = np.zeros(len(a), dtype=bool)
             for i, two in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
                 for k in held.missing(set(two)):
-                    held[k] = shingles(batch.column(2 + two.index(k))[i].as_py() or "")
+                    held[k] = shingles(batch.column(2 + two.index(k))[i].as_py() or "", known)
                 ok[i] = alike(held[two[0]], held[two[1]])
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
@@ -194,35 +282,43 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, met = WordHashes(), set()
         for whole in batches:
             slot = whole.column(0).to_numpy().view(np.uint64) % np.uint64(SLOTS)
-            hit = sent.value[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1
-            for batch, texts in chunks([whole.take(pa.array(np.flatnonzero(hit)))]):
-                names = np.array([name(shingles(t)) for t in texts], dtype=np.int64)
+            hit = (sent.value[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            for i, th in zip(np.flatnonzero(hit).tolist(), whole.column(0).filter(pa.array(hit)).to_pylist(), strict=True):
+                hit[i] = th not in met  # a copy was sent by this task
+                met.add(th)
+            for batch, texts in chunks([whole.filter(pa.array(hit))]):
+                names = np.array([name(shingles(t, known)) for t in texts], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(1)], names=["rep", "text"])
+            if len(met) > WORD_KEYS:
+                met.clear()
 
     return docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "rep long, text string").dropDuplicates(["rep"])
 
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the components of sets that are alike; ``rows`` are the marked ``docs``."""
-    lists = cut(shared_prefixes(docs))
-    wanted = rows.join(lists.select(F.col("rep").alias("node")).distinct(), F.col("rep") == F.col("node"), "left_semi").groupBy("rep").agg(F.min("th").alias("th")).select("th")
-    texts = cut(texts_of(docs, wanted))
-    edges = linked = None
+    edges = cut(verified(tree_pairs(rows), docs, rows))
+    linked = cut(components(edges))
+    lists = cut(shared_prefixes(rows))
     for leaders in [*range(LEADER_ROUNDS), None]:
-        found = cut(verified(pairs(lists, linked, leaders), texts))
-        edges = found if edges is None else edges.union(found)
+        edges = edges.union(cut(verified(pairs(lists, linked, leaders), docs, rows)))
         linked = cut(components(edges))
     return linked
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``, all columns: that of smallest doc_id, null ids last.
+    """One row of each group of near copies in ``docs``, all columns: that of smallest doc_id, null ids last.
 
-    Texts of fewer than five words are one shingle; null, empty and blank texts are alike.
+    Texts of fewer than five words are one shingle; null, empty and blank texts are alike. Of rows
+    that share the smallest doc_id and the text one stays; a doc_id that is first in one group and
+    also belongs to another stays in the first alone. Columns that are named like those made here
+    do no harm; an empty table gives no rows.
     """
-    rows = cut(marked(docs))
+    ship_package(docs.sparkSession)
+    rows = stored(marked(docs))
     linked = links(docs, rows)
     rooted = rows.join(linked, F.col("rep") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "rep").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("hash"))).alias("first")

@@ -60,10 +60,6 @@ def test_fingerprints_and_components(make, odd_texts):
     want = sorted((d is None, d or 0, smallest[r]) for d, r in zip(ids, roots, strict=True))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in rows) == want
     assert simhash.near_duplicates(make([])).collect() == []
-    kept = simhash.keep_first(make(texts, ids))
-    assert kept.columns == make(texts).columns
-    # 3 is the id of two different texts without words
-    assert sorted(r.doc_id for r in kept.collect()) == sorted([3, *set(smallest.values())])
 
 
 def brute_shingles(text):
@@ -123,8 +119,8 @@ def test_repeated_ids_leave_one_row_of_each_group(make):
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (2, b)]
 
 
-@pytest.mark.parametrize("shard_rows", [20_000, 8])
-def test_links_of_dense_fingerprints(spark, shard_rows):
+@pytest.mark.parametrize("tree_rows,shard_rows", [(4096, 20_000), (50, 40), (16, 1)])
+def test_links_of_dense_fingerprints(spark, tree_rows, shard_rows):
     rng = np.random.default_rng(3)
     center = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     points = {int(c) for c in center}
@@ -137,7 +133,7 @@ def test_links_of_dense_fingerprints(spark, shard_rows):
     points = np.array(sorted(points), dtype=np.uint64)
     roots = brute_components(len(points), zip(*np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 3), strict=True))
     df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
-    found = {r.node: r.root for r in graph.components(simhash.links(df, 3, shard_rows)).collect()}
+    found = {r.node: r.root for r in graph.components(simhash.links(df, 3, tree_rows, shard_rows)).collect()}
     groups, want = {}, {}
     for p, r in zip(points.view(np.int64).tolist(), roots, strict=True):
         want.setdefault(r, set()).add(p)
