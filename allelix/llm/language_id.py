@@ -19,15 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from allelix.llm.blocks import release
 from allelix.llm.common import BoundedCache, chunks, table
+from allelix.session import ship_package
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled rows fitted for each language, about: rows are taken by a hash of their id.
 FIT_ROWS = 2_000
-#: N-grams of 1 to 3 characters are counted in so many slots, each order apart.
+#: N-grams of 1 to 3 characters are counted in so many slots at most, each order apart.
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 512
+#: Bounds of the model and of a worker's table of words: more languages get fewer slots and words.
+MODEL_BYTES, TABLE_BYTES = 32 << 20, 32 << 20
 SMOOTHING = 0.5
 ROUNDS = 12
 WORD_KEYS = 200_000
@@ -36,7 +39,7 @@ _LETTERS = regex.compile(r"\p{L}+")
 _MULTIPLIER = np.array([1, 0x9E3779B1, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: list[str], n_slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """(word index, slot) of every n-gram of every word, a space at either end."""
     text = " ".join(["", *words, ""])
     codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
@@ -59,7 +62,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ok &= ~(blank[:n] & blank[1 : 1 + n])
         at = np.flatnonzero(ok)
         index.append(owner[at])
-        slots.append((h[at] >> np.uint64(40)) % np.uint64(SLOTS) + np.uint64(SLOTS * (order - 1)))
+        slots.append((h[at] >> np.uint64(40)) % np.uint64(n_slots) + np.uint64(n_slots * (order - 1)))
     if not index:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(index).astype(np.int64), np.concatenate(slots).astype(np.int64)
@@ -70,10 +73,14 @@ class LanguageModel:
     """Log probabilities of the slots under each language, in the languages' order by name."""
 
     languages: list[str]
-    weights: np.ndarray  # [len(ORDERS) * SLOTS, languages]
+    weights: np.ndarray  # [len(ORDERS) * slots, languages]
+
+    @property
+    def slots(self) -> int:
+        return len(self.weights) // len(ORDERS)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        owner, slots = grams(words)
+        owner, slots = grams(words, self.slots)
         out = np.zeros((len(words), len(self.languages)))
         for l in range(len(self.languages)):
             out[:, l] = np.bincount(owner, weights=self.weights[slots, l], minlength=len(words))[: len(words)]
@@ -135,41 +142,53 @@ def in_fold(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def slot_count(languages: int) -> int:
+    """Slots of each order, a power of two, so that the model stays within ``MODEL_BYTES``; 16 at least."""
+    return min(SLOTS, max(16, 1 << max(0, (MODEL_BYTES // (4 * len(ORDERS) * max(1, languages))).bit_length() - 1)))
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Counts of a bounded sample of the labelled rows outside the held-out fold.
 
-    Only rows with a text and a language are read. Whole texts are counted where they are; what
-    reaches the driver is a row for each language and slot. Raises if there are more than
-    ``MAX_LANGUAGES`` languages, which keeps the model under 400 MB.
+    Only rows with a text and a language are read; of each language about ``fit_rows`` are taken, by a
+    hash of id and text, so that rows equal in both are taken or left together. Whole texts are
+    counted where they are; what reaches the driver is a number for each language and slot, at most
+    ``MODEL_BYTES`` / 4 of them. Without labelled rows the model has no language.
     """
+    ship_package(docs.sparkSession)
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold(docs["doc_id"], FOLDS, HELD_OUT)).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
+    n_slots = slot_count(len(languages))
     if not languages:
-        return LanguageModel([], np.zeros((len(ORDERS) * SLOTS, 0)))
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, fit_rows / sizes[lang]))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    number = {lang: i for i, lang in enumerate(languages)}
+        return LanguageModel([], np.zeros((len(ORDERS) * n_slots, 0), dtype=np.float32))
+    share = docs.sparkSession.createDataFrame([(x, i, min(1.0, fit_rows / sizes[x])) for i, x in enumerate(languages)], "name string, l int, share double")
+    sample = labelled.join(F.broadcast(share), F.col("lang") == F.col("name")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for lang, n in held.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["l", "slot", "n"])
+            held.clear()
+
         for batch, texts in chunks(batches):
             for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                words = _LETTERS.findall(text.lower())
-                if words:
-                    held = totals.setdefault(lang, np.zeros(len(ORDERS) * SLOTS, dtype=np.int64))
-                    held += np.bincount(grams(words)[1], minlength=len(held))
-        for lang, held in totals.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number[lang], dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["l", "slot", "n"])
-
-    counted = sample.select("lang", "text").mapInArrow(count, "l int, slot int, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).toPandas()
-    weights = np.full((len(ORDERS) * SLOTS, len(languages)), SMOOTHING)
-    np.add.at(weights, (counted["slot"].to_numpy(dtype=np.int64), counted["l"].to_numpy(dtype=np.int64)), counted["n"].to_numpy(dtype=np.float64))
-    weights = weights.reshape(len(ORDERS), SLOTS, len(languages))
-    weights = np.log(weights / weights.sum(axis=1, keepdims=True))
+                if words := _LETTERS.findall(text.lower()):
+                    if lang not in held:
+                        if len(held) * len(ORDERS) * n_slots * 8 > TABLE_BYTES:
+                            yield from sums()
+                        held[lang] = np.zeros(len(ORDERS) * n_slots, dtype=np.int64)
+                    held[lang] += np.bincount(grams(words, n_slots)[1], minlength=len(held[lang]))
+        yield from sums()
+
+    counted = sample.select("l", "text").mapInArrow(count, "l int, slot int, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).toArrow()
+    weights = np.full((len(ORDERS) * n_slots, len(languages)), SMOOTHING, dtype=np.float32)
+    weights[counted["slot"].to_numpy(), counted["l"].to_numpy()] += counted["n"].to_numpy().astype(np.float32)
+    weights = weights.reshape(len(ORDERS), n_slots, len(languages))
+    np.log(weights / weights.sum(axis=1, keepdims=True, dtype=np.float64), out=weights, casting="same_kind")
     return LanguageModel(languages, weights.reshape(-1, len(languages)))
 
 
@@ -183,13 +202,17 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     proportion. Texts that are null or have no letter, and all texts if no language was learned, are
     ``und`` with score 0. Narrow: no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES and SLOTS
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
+    ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    at_text = docs.columns.index("text")
+    most_words = max(1_000, min(WORD_KEYS, TABLE_BYTES // (8 * max(1, len(model.languages)))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = sent.value
-        cache, table_ = BoundedCache(WORD_KEYS), np.zeros((WORD_KEYS, len(engine.languages)))
-        for batch, texts in chunks(batches, limit=500_000):
+        cache, table_ = BoundedCache(most_words), np.zeros((most_words, len(engine.languages)))
+        whole = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(at_text)], names=["doc", "text"]) for b in batches)
+        for batch, texts in chunks(whole, limit=min(500_000, 4 * most_words)):
             words = [_LETTERS.findall(t.lower()) for t in texts] if engine.languages else [[] for _ in texts]
             sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             wanted = set().union(*words)
@@ -219,17 +242,25 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 labels[at], scores[at] = engine.languages[order[0]], min(1.0, row[order[0]])
                 sets[at], shares[at] = [engine.languages[l] for l in order], [float(row[l]) for l in order]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], names=["doc", "lang_pred", "score", "languages", "proportions"])
+        release()
 
     return out.mapInArrow(run, StructType([out.schema["doc"], *_parse_datatype_string(SCHEMA)]))
 
 
 #: A text whose main language explains less of it than this is rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.2
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a main language."""
-    return predict(docs, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("doc.*")
+    """The rows of ``docs``, all columns, whose text has a main language.
+
+    Null, empty and letterless texts go. Where no row is labelled no language can be learned, and
+    every row stays. Repeated rows stay or go together; an empty table gives no rows.
+    """
+    model = fit(docs)
+    if not model.languages:
+        return docs
+    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("doc.*")
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -237,6 +268,7 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for all documents by a model of their labelled rows: see ``fit`` and ``predict``; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs.select("doc_id", "text"), fit(docs))
     return found.select(F.col("doc.doc_id").alias("doc_id"), in_fold(F.col("doc.doc_id"), FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score", "languages", "proportions")
