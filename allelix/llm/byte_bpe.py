@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from allelix.llm.common import BoundedCache, chunks, table
+from allelix.session import ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHE_KEYS = 500_000
@@ -177,6 +178,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     Null and empty texts have no ids; null doc_ids stay null; repeated rows are encoded each; other
     columns are not read. Narrow: no shuffle.
     """
+    ship_package(docs.sparkSession)
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +192,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """Digests of ids and of the bytes that they decode to; null ids are taken as none."""
+    ship_package(encoded.sparkSession)
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,4 +210,5 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of what they decode to: see ``encode_documents`` and ``decode_documents``."""
     return decode_documents(encode_documents(table(spark, sf_dir, "documents")))

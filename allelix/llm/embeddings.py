@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from allelix.llm.common import table
 from allelix.llm.graph import components, local_roots
-from allelix.session import cut
+from allelix.session import cut, ship_package
 
 THRESHOLD = 0.95
 PASSES = 24
@@ -182,6 +182,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     dimensions don't link. A null vec_id takes part and counts as larger than all others. Other
     columns are not read; an empty table gives no rows.
     """
+    ship_package(vectors.sparkSession)
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), "embedding")
     e = F.col("embedding")
     sound = F.coalesce(F.exists(e, lambda x: x != 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(False))
@@ -202,4 +203,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors: see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

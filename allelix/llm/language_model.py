@@ -504,4 +504,5 @@ def score_documents(docs: DataFrame, order: int = ORDER, least_split: int = 10_0
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a trigram model: see ``score_documents``."""
     return score_documents(table(spark, sf_dir, "documents"))

@@ -22,7 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
+from allelix.llm.blocks import release
 from allelix.llm.common import BoundedCache, chunks, table
+from allelix.session import ship_package
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -212,6 +214,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     other columns are not read; an empty table gives no rows. Each input partition is packed by
     itself, so that there is no shuffle; sequence ids are unique through the partition's number.
     """
+    ship_package(docs.sparkSession)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -230,9 +233,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             yield flush()
         packer.finish()
         yield flush()
+        release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents: see ``pack``."""
     return pack(table(spark, sf_dir, "documents"))

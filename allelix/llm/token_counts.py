@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from allelix.llm.common import BoundedCache, chunks, table
+from allelix.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -136,6 +137,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TO
     Null and empty texts have 0 tokens; a null doc_id stays null; repeated rows are counted each;
     other columns of ``docs`` are not read. Narrow: no shuffle, bounded memory per chunk of text.
     """
+    ship_package(docs.sparkSession)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,4 +151,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TO
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents: see ``token_counts``."""
     return token_counts(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.llm.common import table
-from allelix.session import shared_dir
+from allelix.session import shared_dir, ship_package
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME_MAGIC = 0x184D2A5D
@@ -120,8 +120,9 @@ class ArchiveWriter:
         sample = [s[:SAMPLE_BYTES] for s in sample if s]
         try:
             dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, sample)) // 8)), sample)
-        except (zstandard.ZstdError, ValueError):  # too few samples to train on: plain content serves as well
-            dictionary = zstandard.ZstdCompressionDict(b"".join(sample)[-DICTIONARY_BYTES:] or VERSION_LINE.encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        except (zstandard.ZstdError, ValueError):  # too few records: one trained on the headers that all have
+            sample = [make_record(i * 7919, f"https://www.example.org/{i}", b"", i if i % 3 else None, i % 3 > 0) for i in range(500)]
+            dictionary = zstandard.train_dictionary(1024, sample)
         stored = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary.as_bytes())
         self.out.write(struct.pack("<II", DICTIONARY_FRAME_MAGIC, len(stored)) + stored)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True, write_content_size=True)
@@ -183,8 +184,11 @@ def assign_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFra
 def write_archives(pages: DataFrame, folder: str, least: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Writes every row of ``pages`` to archives in ``folder``; returns their paths and record counts.
 
-    The rows come from writing: use the returned frame once, or store it.
+    The rows come from writing: use the returned frame once, or store it. A null html is an empty
+    payload, null ids and urls leave their headers out, repeated rows are records each, other columns
+    are not read, and no rows write no archive.
     """
+    ship_package(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
@@ -224,8 +228,10 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Every record of the archives: page_id, url, payload (null for a revisit), payload_bytes, payload_digest, record_type, refers_to.
 
     Raises if an archive holds another number of records than ``records`` says, or a payload is not
-    as long as its headers say or has another digest.
+    as long as its headers say or has another digest. Headers that a record leaves out are null; no
+    archives give no rows.
     """
+    ship_package(archives.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
@@ -281,6 +287,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least: int =
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the archives of all pages: see ``archive_round_trip``."""
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
