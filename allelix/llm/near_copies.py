@@ -2,16 +2,18 @@
 
 Documents are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Every text gets the SimHash of its five-word shingles; BK-trees (``simhash.links``) name pairs within
-   three bits, which are checked by their whole shingle sets and united.
-2. Sets at a similarity of 0.8 differ in about ten bits, at which a BK-tree has nothing left to leave
-   out. So what the trees can't see is found by prefixes of the sets: in any one order of all shingles, two
-   sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each. The order puts
-   shingles that a sample knows as frequent last; any order gives the same result. Pairs that share
-   one, whose sizes and places allow the similarity and which are not in one group yet are checked.
-
-The check first bounds the overlap by numbers of shingles in 256 parts, which loses no pair, and compares
-whole sets of what is left. Equality of shingles and of whole sets rests on 64-bit hashes.
+1. Every text gets the SimHash of its five-word shingles in 256 bits. BK-trees (``simhash.links``) over the
+   first 64 name pairs within three bits, which are checked by their whole shingle sets and united.
+2. Sets at a similarity of 0.8 differ in about ten of 64 bits, at which a BK-tree has nothing left to
+   leave out. So what the trees can't see is found by prefixes of the sets: in any one order of all shingles,
+   two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each. The order
+   puts shingles that a sample knows as frequent last; any order gives the same result. Pairs that share
+   one, whose sizes and places allow the similarity and whose 256 bits differ in at most ``FAR``
+   (similar sets differ in 39, give or take 6) are candidates.
+3. A group's candidates are not all emitted: in a round each set names its ``NEAREST`` candidates outside its
+   component, those are checked by whole sets and united, and rounds go on until one unites nothing.
+
+Equality of shingles and of whole sets rests on 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from allelix.llm.blocks import release, stored
 from allelix.llm.common import BoundedCache, chunks
-from allelix.llm.graph import components, key_runs
+from allelix.llm.graph import components
 from allelix.llm.simhash import RADIUS
 from allelix.llm.simhash import links as tree_links
 from allelix.session import cut, ship_package
@@ -37,12 +39,12 @@ OVER, UNDER = 4, 5
 SAMPLE_ROWS = 10_000
 #: Shingles known as frequent, at most: the only thing that is sent to all workers beside the slots.
 FREQUENT = 100_000
-LEADER_ROUNDS = 1
+#: Bits of 256 in which candidates differ at most: over six standard deviations more than similar sets do.
+FAR = 76
+NEAREST = 2
 SLOTS = 1 << 23
-TILE = 512
 SETS = 256
 WORD_KEYS = 200_000
-PARTS = 256
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -76,14 +78,16 @@ def shingles(text: str, known: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
-def fingerprint(held: np.ndarray) -> int:
-    """SimHash of a set of shingle hashes, as a signed number; zero for the empty set."""
+def fingerprint(held: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingle hashes in 256 bits, as four signed numbers; zeros for the empty set."""
     if not len(held):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(held), 1 << 15):
-        ones += np.unpackbits(held[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(held), bitorder="little").view("<i8")[0])
+        return np.zeros(4, dtype=np.int64)
+    ones = np.zeros(256, dtype=np.int64)
+    for i in range(0, len(held), 1 << 13):
+        part = held[i : i + (1 << 13)]
+        lanes = np.stack([part, *(mixed(part + f) for f in _FACTORS)], axis=1)
+        ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(held), bitorder="little").view("<i8")
 
 
 def name(held: np.ndarray) -> int:
@@ -96,12 +100,6 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return (OVER + UNDER) * both >= OVER * (len(a) + len(b))
 
 
-def part_counts(held: np.ndarray) -> bytes:
-    """Shingles in each of ``PARTS`` parts, nothing if a number is over 255."""
-    n = np.bincount((held & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
-
-
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, ranks): the most frequent shingles of a sample of texts, ascending; more frequent ones have larger ranks."""
 
@@ -133,7 +131,8 @@ def prefix(held: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return held[np.argsort(rank, kind="stable")][: n - -(-OVER * n // UNDER) + 1]
 
 
-MARKED = "doc_id long, th long, rep long, fp long, size int, parts binary, prefix array<long>"
+LANES = ["fp", "fp1", "fp2", "fp3"]
+MARKED = "doc_id long, th long, rep long, fp long, fp1 long, fp2 long, fp3 long, size int, prefix array<long>"
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -143,36 +142,78 @@ def marked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), set()
         for batch, texts in chunks(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(7)]
             for text in texts:
                 held = shingles(text, known)
                 rep = name(held)
-                row = (rep, None, None, None, None)
+                row = (rep, *[None] * 6)
                 if rep not in met:
                     met.add(rep)
-                    row = (rep, fingerprint(held), len(held), part_counts(held), prefix(held, sent.value).view(np.int64))
+                    row = (rep, *fingerprint(held).tolist(), len(held), prefix(held, sent.value).view(np.int64))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             if len(met) > WORD_KEYS:
                 met.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[f.split()[0] for f in MARKED.split(", ")])
         release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, MARKED)
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of numbers, cut between two values of the first, by which the partition is sorted."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if not batch.num_rows:
+            continue
+        cut_at = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut_at:
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut_at] for c in columns], strict=True)]
+            held = []
+        elif held and held[-1][0][-1] != columns[0][0]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        held.append([c[cut_at:] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def candidates(key: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, lanes: list[np.ndarray], root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits that differ) of rows of one key that may be alike and have different roots; nothing is held."""
+    i, step = np.arange(len(key)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(key)]
+        i = i[key[i] == key[i + step]]
+        j = i + step
+        far = np.zeros(len(i), dtype=np.int64)
+        for lane in lanes:
+            far += np.bitwise_count((lane[i] ^ lane[j]).view(np.uint64))
+        ok = (far <= FAR) & (root[i] != root[j]) & (rep[i] != rep[j]) & possible(size, pos, i, j)
+        if ok.any():
+            yield i[ok], j[ok], far[ok]
+
+
+_LIST = "key long, rep long, size int, pos int, fp long, fp1 long, fp2 long, fp3 long"
+_LIST_NAMES = [f.split()[0] for f in _LIST.split(", ")]
+
+
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """(key, rep, size, pos): places of the prefixes' shingles that several sets hold."""
+    """Places of the prefixes' shingles at which a set has a candidate."""
 
-    def several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rep, size, pos in key_runs(batches, 1):
-            rep, at = np.unique(rep, return_index=True)
-            if len(rep) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(rep), pa.array(size[at]), pa.array(pos[at])], names=["key", "rep", "size", "pos"])
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_runs(batches):
+            key, rep, size, pos, *lanes = columns
+            near = np.zeros(len(key), dtype=bool)
+            for i, j, _ in candidates(key, rep, size, pos, lanes, rep):
+                near[i] = near[j] = True
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in columns], names=_LIST_NAMES)
 
-    placed = rows.where("prefix IS NOT NULL").select("rep", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "rep", "size", "pos")
-    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, rep long, size int, pos int")
+    placed = rows.where("prefix IS NOT NULL").select("rep", "size", *LANES, F.posexplode("prefix").alias("pos", "key")).select(*_LIST_NAMES)
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(some, _LIST)
 
 
 def possible(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -192,57 +233,37 @@ def tree_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return linked.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def pairs(lists: DataFrame, linked: DataFrame | None, leaders: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of each list that may be alike and are not in one component yet.
+def nearest(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rep: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of (i, j, bits) in both directions, the ``NEAREST`` of each i."""
+    i, j, far = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((rep[j], far, i))
+    i, j, far = i[order], j[order], far[order]
+    place = np.arange(len(i)) - np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))[np.cumsum(np.concatenate(([True], i[1:] != i[:-1]))) - 1]
+    keep = place < NEAREST
+    return [(i[keep], j[keep], far[keep])]
 
-    With ``leaders`` (a round's number) only pairs of one set of the list and each of the others.
-    """
-    named = lists.withColumn("root", F.col("rep")) if linked is None else lists.join(linked, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "pos", F.coalesce("root", "rep").alias("root"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rep, size, pos, root in key_runs(batches, 1):
-            every = np.arange(len(rep))
-            if leaders is not None:
-                # the first by a hash that differs by round, the same in all lists of a group
-                h = (rep.view(np.uint64) ^ np.uint64(leaders * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-                tiles = [(np.full(len(rep), h.argmin()), every)]
-            else:
-                tiles = ([x.ravel() for x in np.meshgrid(every[a : a + TILE], every[b : b + TILE], indexing="ij")] for a in range(0, len(rep), TILE) for b in range(a, len(rep), TILE))
-            for i, j in tiles:
-                ok = (root[i] != root[j]) & possible(size, pos, i, j)
-                if ok.any():
-                    x, y = rep[i[ok]], rep[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return named.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
-
-
-def bounded(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose parts leave room for the similarity."""
-    sets = rows.where("prefix IS NOT NULL").select("rep", "size", "parts").dropDuplicates(["rep"])
-    left, right = (sets.select(*(F.col(c).alias(f"{x}_{c}") for c in ("rep", "size", "parts"))) for x in "ab")
-    joined = found.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep")).select("a", "b", "a_size", "b_size", "a_parts", "b_parts")
+def pairs(lists: DataFrame, linked: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): in each list every set with its nearest candidates outside its component."""
+    named = lists.join(linked, F.col("rep") == F.col("node"), "left").select(*_LIST_NAMES, F.coalesce("root", "rep").alias("root"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 4096):
-                batch = whole.slice(begin, 4096)
-                sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-                ok = np.ones(batch.num_rows, dtype=bool)
-                two = [batch.column(k).to_pylist() for k in (4, 5)]
-                stated = np.flatnonzero([len(x) > 0 and len(y) > 0 for x, y in zip(*two, strict=True)])
-                if len(stated):
-                    x, y = (np.frombuffer(b"".join([t[i] for i in stated.tolist()]), dtype=np.uint8).reshape(-1, PARTS) for t in two)
-                    both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                    ok[stated] = (OVER + UNDER) * both >= OVER * sizes[stated]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+        for key, rep, size, pos, *lanes, root in whole_runs(batches):
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i, j, far in candidates(key, rep, size, pos, lanes, root):
+                best += [(i, j, far), (j, i, far)]
+                if sum(len(x[0]) for x in best) > 1_000_000 + NEAREST * len(key):
+                    best = nearest(best, rep)
+            if best:
+                (i, j, _), = nearest(best, rep)
+                two = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return named.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+def verified(likely: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose whole sets are alike."""
-    likely = cut(bounded(found, rows))
     wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     hashes = rows.join(wanted, F.col("rep") == F.col("node"), "left_semi").groupBy("rep").agg(F.min("th").alias("th")).select("th")
     texts = cut(texts_of(docs, hashes))
@@ -300,13 +321,17 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the components of sets that are alike; ``rows`` are the marked ``docs``."""
-    edges = cut(verified(tree_pairs(rows), docs, rows))
+    tried = cut(tree_pairs(rows))
+    edges = cut(verified(tried, docs, rows))
     linked = cut(components(edges))
     lists = cut(shared_prefixes(rows))
-    for leaders in [*range(LEADER_ROUNDS), None]:
-        edges = edges.union(cut(verified(pairs(lists, linked, leaders), docs, rows)))
+    while True:
+        named = cut(pairs(lists, linked).join(tried, ["a", "b"], "left_anti"))
+        found = cut(verified(named, docs, rows))
+        if found.isEmpty():
+            return linked
+        tried, edges = tried.union(named), edges.union(found)
         linked = cut(components(edges))
-    return linked
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
