@@ -11,11 +11,12 @@ PURINES, PYRIMIDINES = ("A", "G"), ("C", "T")
 def allele_type(ref: Column, alt: Column) -> Column:
     """ref, symbolic, overlap, snp, mnp or indel; other when lengths differ and neither allele starts the other."""
     same = F.length(ref) == F.length(alt)
+    one = (F.length(ref) == 1) & (F.length(alt) == 1)
     differing = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(ref), F.lit(1))), lambda i: F.substr(ref, i, F.lit(1)) != F.substr(alt, i, F.lit(1))))
     nested = alt.startswith(ref) | ref.startswith(alt)
     return (
         F.when((alt == ".") | (alt == "<*>") | (alt == ref), "ref").when(alt == "*", "overlap").when(alt.startswith("<"), "symbolic")
-        .when(same & (differing == 1), "snp").when(same, "mnp").when(nested, "indel").otherwise("other")
+        .when(one, "snp").when(same & (differing == 1), "snp").when(same, "mnp").when(nested, "indel").otherwise("other")
     )
 
 
@@ -33,12 +34,19 @@ def gt_alleles(gt: Column) -> Column:
     return F.transform(F.split(gt, "[/|]"), lambda a: F.when(a != ".", a.cast("int")))
 
 
+#: The usual spellings of a genotype's class, which need no look at the alleles.
+USUAL_CLASSES = {"hom_ref": ("0/0", "0|0"), "het": ("0/1", "0|1", "1|0", "1/0"), "hom_alt": ("1/1", "1|1"), "mis": ("./.", ".|.", "."), "hap": ("0", "1")}
+
+
 def gt_class(gt: Column) -> Column:
-    """mis, hap, hom_ref, hom_alt, het or het_alt."""
+    """mis, hap, hom_ref, hom_alt, het or het_alt; usual spellings are looked up, others are taken apart."""
     a = gt_alleles(gt)
     first, second = F.get(a, F.lit(0)), F.get(a, F.lit(1))
+    out = None
+    for name, spellings in USUAL_CLASSES.items():
+        out = F.when(gt.isin(*spellings), name) if out is None else out.when(gt.isin(*spellings), name)
     return (
-        F.when(F.exists(a, lambda x: x.isNull()), "mis").when(F.size(a) == 1, "hap").when((first == second) & (first == 0), "hom_ref")
+        out.when(F.exists(a, lambda x: x.isNull()), "mis").when(F.size(a) == 1, "hap").when((first == second) & (first == 0), "hom_ref")
         .when(first == second, "hom_alt").when((first == 0) | (second == 0), "het").otherwise("het_alt")
     )
 
@@ -50,7 +58,8 @@ def is_phased(gt: Column) -> Column:
 def dosage(gt: Column) -> Column:
     """Number of alleles that are not REF; null if any is missing."""
     a = gt_alleles(gt)
-    return F.when(~F.exists(a, lambda x: x.isNull()), F.size(F.filter(a, lambda x: x > 0)))
+    usual = F.when(gt.isin("0/0", "0|0", "0"), 0).when(gt.isin("0/1", "0|1", "1|0", "1"), 1).when(gt.isin("1/1", "1|1"), 2).when(gt.isin("./.", "."), F.lit(None).cast("int"))
+    return usual.when(~F.exists(a, lambda x: x.isNull()), F.size(F.filter(a, lambda x: x > 0)))
 
 
 def allele_counts(calls: Column, n_alt: Column) -> Column:
@@ -91,7 +100,7 @@ def trimmed(pos: Column, ref: Column, alt: Column) -> Column:
         head = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substr(x["r"], i, F.lit(1)) != F.substr(x["a"], i, F.lit(1))))) - 1, F.greatest(n, F.lit(0)))
         return F.struct((pos + head).cast("int").alias("pos"), F.substr(x["r"], head + 1, F.length(x["r"])).alias("ref"), F.substr(x["a"], head + 1, F.length(x["a"])).alias("alt"))
 
-    plain = ~alt.startswith("<") & ~alt.isin(".", "*")
+    plain = ~alt.startswith("<") & ~alt.isin(".", "*") & (F.length(ref) > 1) & (F.length(alt) > 1)
     return F.when(plain, F.element_at(F.transform(F.array(cut), left), 1)).otherwise(F.struct(pos.cast("int").alias("pos"), ref.alias("ref"), alt.alias("alt")))
 
 

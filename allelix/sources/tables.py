@@ -1,4 +1,4 @@
-"""Small text tables: regions, references, pedigrees, genetic maps."""
+"""Small text tables: regions, references, pedigrees, genetic maps, allele frequencies."""
 
 from __future__ import annotations
 
@@ -34,3 +34,18 @@ def read_pedigree(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where(~F.col("value").rlike("^\\s*(#|$)"))
     known = lambda i: F.when(F.get(p, F.lit(i)) != "0", F.get(p, F.lit(i)))
     return rows.select(F.get(p, F.lit(0)).alias("family"), F.get(p, F.lit(1)).alias("child"), known(2).alias("father"), known(3).alias("mother"), F.get(p, F.lit(4)).alias("sex"))
+
+
+def read_genetic_map(spark: SparkSession, path: str) -> DataFrame:
+    """pos, cm of a white-space table of position, rate and map place; the header line is left out."""
+    p = F.split(F.trim("value"), "\\s+")
+    rows = spark.read.text(path).where(F.col("value").rlike("^\\s*[0-9]"))
+    return rows.select(F.get(p, F.lit(0)).cast("int").alias("pos"), F.get(p, F.lit(2)).cast("double").alias("cm"))
+
+
+def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, pos, ref, alt, af of a tab file in which REF and ALT stand in one column with a comma between."""
+    p = F.split("value", "\t")
+    alleles = F.split(F.get(p, F.lit(2)), ",")
+    rows = spark.read.text(path).where(~F.col("value").rlike("^(#|$)"))
+    return rows.select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("int").alias("pos"), F.get(alleles, F.lit(0)).alias("ref"), F.get(alleles, F.lit(1)).alias("alt"), F.get(p, F.lit(3)).cast("double").alias("af"))

@@ -115,15 +115,33 @@ def info_map(info: Column) -> Column:
 
 
 def shown_number(x: Column) -> Column:
-    """A number with at most six decimals and no trailing zeros."""
-    return F.when(x.isNull(), ".").otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), "\\.$", ""))
-
-
-def lines(records: DataFrame) -> Column:
-    """Record lines with QUAL shown plainly; samples follow if there is a column ``calls``."""
-    fixed = [F.col("chrom"), F.col("pos").cast("string"), F.col("id"), F.col("ref"), F.col("alt"), shown_number(F.col("qual")), F.col("filter"), F.concat(F.lit("DP="), F.col("info_dp").cast("string"))]
+    """A number as a 32-bit float with six significant digits, without trailing zeros; a dot for none.
+
+    From a million on, and below 0.0001, the form with an exponent of two digits or more is used.
+    """
+    value = x.cast("float").cast("double")
+    form = F.format_string("%.5e", value)
+    digits, exponent = F.substring_index(form, "e", 1), F.substring_index(form, "e", -1).cast("int")
+    plain = lambda text: F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")).otherwise(text)
+    fixed = plain(F.concat(F.when(value < 0, "-").otherwise(""), F.abs(digits.cast("decimal(38,10)") * F.pow(F.lit(10.0), F.greatest(exponent, F.lit(-5))).cast("decimal(20,10)")).cast("decimal(38,10)").cast("string")))
+    far = F.concat(plain(digits), F.lit("e"), F.substring_index(form, "e", -1))
+    return F.when(x.isNull() | F.isnan(value), ".").when(value == 0, "0").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).when((exponent < -4) | (exponent >= 6), far).otherwise(fixed)
+
+
+def info_text(fields: dict[str, Column]) -> Column:
+    """The INFO column: ``key=value`` of the fields that are not null, a flag's key where it is true, a dot for none."""
+    shown = [F.when(c, F.lit(k)) if c_is_flag else F.when(c.isNotNull(), F.concat(F.lit(f"{k}="), c.cast("string"))) for k, (c, c_is_flag) in {k: v if isinstance(v, tuple) else (v, False) for k, v in fields.items()}.items()]
+    text = F.concat_ws(";", *shown)
+    return F.when(text == "", ".").otherwise(text)
+
+
+def lines(records: DataFrame, info: dict[str, Column] | None = None) -> Column:
+    """Record lines; every column is there, a dot where it is null; samples follow if there is a column ``calls``."""
+    dotted = lambda c: F.coalesce(c.cast("string"), F.lit("."))
+    info = {"DP": F.col("info_dp")} if info is None else info
+    fixed = [F.col("chrom"), F.col("pos").cast("string"), *(dotted(F.col(c)) for c in ("id", "ref", "alt")), shown_number(F.col("qual")), dotted(F.col("filter")), info_text(info)]
     if "calls" in records.columns:
-        shown = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", c["gt"], c["dp"].cast("string"))), "\t")
+        shown = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", dotted(c["gt"]), dotted(c["dp"]))), "\t")
         fixed += [F.lit("GT:DP"), shown]
     return F.concat_ws("\t", *fixed)
 
