@@ -10,14 +10,15 @@ anything, and no order or pattern holds for either. ``&`` and ``|`` work within
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
 
-_TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)|(?P<string>\"[^\"]*\"|'[^']*')|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*)|(?P<op>&&|\|\||==|!=|<=|>=|!~|[-+*/%()\[\],:&|<>=~!]))")
+_TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)|(?P<string>\"[^\"]*\"|'[^']*')|(?P<file>@[^\s&|)]+)|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*)|(?P<op>&&|\|\||==|!=|<=|>=|!~|[-+*/%()\[\],:&|<>=~!]))")
 
 
 class ExpressionError(ValueError):
@@ -31,6 +32,8 @@ class Value:
     column: Column
     per_sample: bool
     text: bool
+    #: ``!`` stood before it: it counts where the value itself is the condition, and not in comparisons.
+    negated: bool = False
 
 
 @dataclass
@@ -41,12 +44,19 @@ class Truth:
 
 @dataclass(frozen=True)
 class Schema:
-    """Columns that names stand for: of the record (number or string) and of a call in the array ``calls``."""
+    """Columns that names stand for: of the record (number or string) and of a call in the array ``calls``.
+
+    A number of a call may be an array. ``flags`` are booleans of the record, 1 or 0 in expressions.
+    ``alts`` is the array of ALT alleles, from which TYPE, ILEN and N_ALT follow.
+    """
 
     numbers: dict[str, str]
     strings: dict[str, str]
     call_numbers: dict[str, str]
     calls: str = "calls"
+    flags: dict[str, str] = field(default_factory=dict)
+    call_arrays: frozenset[str] = frozenset()
+    alts: str = "alts"
 
 
 def tokenize(text: str) -> list[tuple[str, str]]:
@@ -88,17 +98,26 @@ _GT_TESTS = {
     ".": lambda g: V.gt_class(g) == "mis",
     "ref": lambda g: (V.gt_class(g) != "mis") & ~F.exists(V.gt_alleles(g), lambda a: a > 0),
     "alt": lambda g: (V.gt_class(g) != "mis") & F.exists(V.gt_alleles(g), lambda a: a > 0),
-    "RR": lambda g: V.gt_class(g) == "hom_ref",
-    "RA": lambda g: V.gt_class(g) == "het",
-    "AR": lambda g: V.gt_class(g) == "het",
-    "AA": lambda g: V.gt_class(g) == "hom_alt",
-    "aA": lambda g: V.gt_class(g) == "het_alt",
-    "Aa": lambda g: V.gt_class(g) == "het_alt",
-    "R": lambda g: (V.gt_class(g) == "hap") & (F.get(V.gt_alleles(g), F.lit(0)) == 0),
-    "A": lambda g: (V.gt_class(g) == "hap") & (F.get(V.gt_alleles(g), F.lit(0)) > 0),
+    "rr": lambda g: V.gt_class(g) == "hom_ref",
+    "ra": lambda g: V.gt_class(g) == "het",
+    "ar": lambda g: V.gt_class(g) == "het",
+    "aa": lambda g: V.gt_class(g) == "hom_alt",
+    "r": lambda g: (V.gt_class(g) == "hap") & (F.get(V.gt_alleles(g), F.lit(0)) == 0),
+    "a": lambda g: (V.gt_class(g) == "hap") & (F.get(V.gt_alleles(g), F.lit(0)) > 0),
 }
 
 
+def genotype_test(wanted: str):
+    """What a genotype must be: a class by name in any case (aA apart, which is two different ALTs) or its very text."""
+    if wanted in ("aA", "Aa"):
+        return lambda g: V.gt_class(g) == "het_alt"
+    if wanted.lower() in _GT_TESTS:
+        return _GT_TESTS[wanted.lower()]
+    if not re.fullmatch(r"[0-9.]+([/|][0-9.]+)*", wanted):
+        raise ExpressionError(f"no class of genotypes: {wanted!r}")
+    return lambda g: g == wanted
+
+
 def _reduce(name: str, a: Column) -> Column:
     """One number of a list without its missing values; missing if nothing is left."""
     a = F.filter(a, lambda x: x.isNotNull())
@@ -178,8 +197,14 @@ class _Parser:
         holds = (lambda a: F.exists(a, lambda x: F.coalesce(x != "", F.lit(False)))) if v.text else (lambda a: F.exists(a, lambda x: F.coalesce(x != 0, F.lit(False))))
         if v.per_sample:
             mask = F.transform(v.column, holds)
-            return Truth(F.exists(mask, lambda x: x), mask)
-        return Truth(holds(v.column))
+            out = Truth(F.exists(mask, lambda x: x), mask)
+        else:
+            out = Truth(holds(v.column))
+        return self.opposite(out) if v.negated else out
+
+    @staticmethod
+    def opposite(t: Truth) -> Truth:
+        return Truth(~t.site, None if t.mask is None else F.transform(t.mask, lambda x: ~x))
 
     def compared(self) -> Truth | Value:
         left = self.added()
@@ -199,7 +224,11 @@ class _Parser:
             # commas make sets: equal if they share an element
             listed = lambda v: F.flatten(F.transform(v, lambda x: F.split(x, ",")))
             shared = lambda a, b: F.arrays_overlap(listed(a), listed(b))
-            test = (lambda a, b: F.coalesce(shared(a, b), F.lit(False))) if op != "!=" else (lambda a, b: ~F.coalesce(shared(a, b), F.lit(False)))
+
+            def test(a: Column, b: Column) -> Column:
+                none_a, none_b = (~F.exists(v, lambda x: x.isNotNull()) for v in (a, b))
+                same = F.when(none_a & none_b, True).when(none_a | none_b, False).otherwise(F.coalesce(shared(a, b), F.lit(False)))
+                return ~same if op == "!=" else same
         else:
             test = lambda a, b: _any_pair(op, a, b, text)
         if left.per_sample and right.per_sample:
@@ -253,9 +282,7 @@ class _Parser:
             return self.calculate("*", v, Value(F.array(F.lit(-1.0)), False, False))
         if self.take("!"):
             v = self.signed()
-            if isinstance(v, Value):
-                return v
-            return Truth(~v.site, None if v.mask is None else F.transform(v.mask, lambda x: ~x))
+            return replace(v, negated=not v.negated) if isinstance(v, Value) else self.opposite(v)
         return self.primary()
 
     def primary(self) -> Truth | Value:
@@ -271,6 +298,10 @@ class _Parser:
             return Value(F.array(F.lit(float(text))), False, False)
         if kind == "string":
             return Value(F.array(F.lit(text[1:-1])), False, True)
+        if kind == "file":
+            with open(text[1:], encoding="utf-8") as file:
+                held = [line.strip() for line in file if line.strip()]
+            return Value(F.array(F.lit(",".join(held))), False, True)
         if kind != "name":
             raise ExpressionError(f"unexpected {text!r}")
         if self.peek("("):
@@ -279,8 +310,31 @@ class _Parser:
             return self.genotype()
         if text.upper() == "FILTER":
             return self.filters()
+        if text.upper() == "TYPE":
+            return self.types()
         return self.selected(self.field(text))
 
+    def derived(self, name: str) -> Value | None:
+        """Fields that follow from others: of the alleles and of the genotypes."""
+        s = self.schema
+        genotypes = lambda: F.transform(F.col(s.calls), lambda c: c["gt"])
+        n_calls = F.size(s.calls).cast("double")
+        counts = lambda: F.transform(V.allele_counts(F.col(s.calls), F.size(s.alts)), lambda x: x.cast("double"))
+        number = lambda: V.allele_number(F.col(s.calls)).cast("double")
+        rest = lambda: F.array(number() - F.aggregate(counts(), F.lit(0.0), lambda t, x: t + x))
+        made = {
+            "N_ALT": lambda: F.array(F.size(s.alts).cast("double")),
+            "N_SAMPLES": lambda: F.array(n_calls),
+            "ILEN": lambda: F.transform(F.col(s.alts), lambda a: V.indel_length(F.col(s.strings["REF"]), a).cast("double")),
+            "N_MISSING": lambda: F.array(F.size(F.filter(genotypes(), lambda g: g.contains("."))).cast("double")),
+            "F_MISSING": lambda: F.array(F.when(n_calls > 0, F.size(F.filter(genotypes(), lambda g: g.contains("."))) / n_calls)),
+            "AC": counts,
+            "AN": lambda: F.array(number()),
+            "AF": lambda: F.transform(counts(), lambda x: F.when(number() > 0, x / number())),
+            "MAC": lambda: F.array(F.array_min(F.concat(counts(), rest()))),
+        }.get(name)
+        return Value(made(), False, False) if made else None
+
     def field(self, name: str) -> Value:
         s, key = self.schema, name
         for prefix in ("FMT/", "FORMAT/"):
@@ -290,44 +344,81 @@ class _Parser:
                     raise ExpressionError(f"no field {name}")
                 return self.of_calls(key)
         key = key.removeprefix("INFO/")
+        if key not in s.numbers and key not in s.strings and key.upper() in {**s.numbers, **s.strings}:
+            key = key.upper()  # fields of the record are known in any case
+        if key in s.flags:
+            return Value(F.array(F.coalesce(F.col(s.flags[key]), F.lit(False)).cast("double")), False, False)
         if key in s.numbers:
             return Value(F.expr(s.numbers[key]) if "(" in s.numbers[key] else F.array(F.col(s.numbers[key]).cast("double")), False, False)
         if key in s.strings:
             return Value(F.array(F.col(s.strings[key])), False, True)
         if key in s.call_numbers:
             return self.of_calls(key)
+        if found := self.derived(key.upper()):
+            return found
         raise ExpressionError(f"no field {name}")
 
     def of_calls(self, key: str) -> Value:
         inner = self.schema.call_numbers[key]
-        return Value(F.transform(F.col(self.schema.calls), lambda c: F.array(c[inner].cast("double"))), True, False)
+        one = (lambda c: c[inner].cast("array<double>")) if key in self.schema.call_arrays else (lambda c: F.array(c[inner].cast("double")))
+        return Value(F.transform(F.col(self.schema.calls), one), True, False)
+
+    def picked(self, *ends: str):
+        """A test of an index: a list of numbers and ranges up to one of ``ends``; nothing or a star takes all."""
+        if self.take("*"):
+            return lambda k: F.lit(True)
+        parts: list[tuple[int, int | None]] = []
+        while self.at < len(self.tokens) and self.tokens[self.at][0] == "number":
+            low = int(self.tokens[self.at][1])
+            self.at += 1
+            high: int | None = low
+            if self.take("-"):
+                high = None
+                if self.tokens[self.at][0] == "number":
+                    high = int(self.tokens[self.at][1])
+                    self.at += 1
+            parts.append((low, high))
+            if not self.take(","):
+                break
+        if not self.peek(*ends):
+            raise ExpressionError("a selector is a star or numbers and ranges")
+        if not parts:
+            return lambda k: F.lit(True)
+        return lambda k: reduce(lambda x, y: x | y, [(k >= low) & (k <= high if high is not None else F.lit(True)) for low, high in parts])
 
     def selected(self, v: Value) -> Value:
+        """``[values]`` of a record, ``[samples]``, ``[samples:values]`` of calls; what isn't selected meets no comparison."""
         if not self.take("["):
             return v
-        kind, text = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
-        self.at += 1
+        first = self.picked("]", ":")
+        second = self.picked("]") if self.take(":") else lambda k: F.lit(True)
         self.need("]")
-        if text == "*":
-            return v
-        if kind != "number":
-            raise ExpressionError("a selector is * or a number")
-        i = F.lit(int(text))
         if v.per_sample:
-            # values of samples that are not selected are empty and meet no comparison
-            return Value(F.transform(v.column, lambda a, k: F.when(k == i, a).otherwise(F.filter(a, lambda x: F.lit(False)))), True, v.text)
-        return Value(F.array(F.get(v.column, i)), False, v.text)
+            return Value(F.transform(v.column, lambda a, k: F.when(first(k), F.filter(a, lambda x, i: second(i))).otherwise(F.filter(a, lambda x: F.lit(False)))), True, v.text)
+        return Value(F.filter(v.column, lambda x, i: first(i)), False, v.text)
 
     def genotype(self) -> Truth:
-        op = self.take("==", "=", "!=")
+        op = self.take("==", "=", "!=", "!~", "~")
         if not op or self.tokens[self.at][0] != "string":
             raise ExpressionError("GT is compared with a string")
         wanted = self.tokens[self.at][1][1:-1]
         self.at += 1
-        test = _GT_TESTS.get(wanted, lambda g: g == wanted)
-        mask = F.transform(F.col(self.schema.calls), lambda c: test(c["gt"]) if op != "!=" else ~test(c["gt"]))
+        test = (lambda g: F.rlike(g, F.lit(wanted))) if op.endswith("~") else genotype_test(wanted)
+        mask = F.transform(F.col(self.schema.calls), lambda c: ~test(c["gt"]) if op[0] == "!" else test(c["gt"]))
         return Truth(F.exists(mask, lambda x: x), mask)
 
+    def types(self) -> Truth:
+        """``=``: the record's ALTs are of these types and no others; ``~``: one is."""
+        op = self.take("==", "=", "!=", "!~", "~")
+        if not op or self.tokens[self.at][0] != "string":
+            raise ExpressionError("TYPE is compared with a string")
+        wanted = F.array(*(F.lit(x.lower()) for x in re.split("[,;|]", self.tokens[self.at][1][1:-1])))
+        self.at += 1
+        ref, alts = F.col(self.schema.strings["REF"]), F.col(self.schema.alts)
+        held = F.when(F.size(alts) > 0, F.array_distinct(F.transform(alts, lambda a: V.allele_type(ref, a)))).otherwise(F.array(F.lit("ref")))
+        found = F.arrays_overlap(held, wanted) if op.endswith("~") else (F.size(F.array_except(held, wanted)) == 0) & (F.size(F.array_except(wanted, held)) == 0)
+        return Truth(~found if op[0] == "!" else found)
+
     def filters(self) -> Truth:
         op = self.take("==", "=", "!=", "!~", "~")
         if not op or self.tokens[self.at][0] != "string":
@@ -343,8 +434,10 @@ class _Parser:
     def function(self, name: str) -> Value:
         self.need("(")
         inner = self.either()
-        self.need(")")
         low = name.lower()
+        if low == "binom":
+            return self.binomial(inner, self.either() if self.take(",") else None)
+        self.need(")")
         if low in ("n_pass", "f_pass"):
             mask = self.truth(inner).mask
             if mask is None:
@@ -370,6 +463,22 @@ class _Parser:
         return Value(F.transform(inner.column, each), False, False)
 
 
+    def binomial(self, first: Truth | Value, second: Truth | Value | None) -> Value:
+        """Two-sided probability of a list's first two numbers, or of two lists' first ones, as draws of a fair coin."""
+        self.need(")")
+        if isinstance(first, Truth) or isinstance(second, Truth):
+            raise ExpressionError("binom needs values")
+        of = lambda x, y: F.array(F.when(x.isNotNull() & y.isNotNull(), V.binomial_two_sided(x.cast("int"), (x + y).cast("int"))))
+        head = lambda a, i: F.get(a, F.lit(i))
+        if second is None:
+            one = lambda a: of(head(a, 0), head(a, 1))
+            return Value(F.transform(first.column, one) if first.per_sample else one(first.column), first.per_sample, False)
+        if first.per_sample != second.per_sample:
+            raise ExpressionError("binom needs two fields of one kind")
+        two = lambda a, b: of(head(a, 0), head(b, 0))
+        return Value(F.zip_with(first.column, second.column, two) if first.per_sample else two(first.column, second.column), first.per_sample, False)
+
+
 def compile_filter(text: str, schema: Schema) -> Truth:
     """The columns that say whether a record, and each of its samples, passes."""
     parser = _Parser(tokenize(text), schema)

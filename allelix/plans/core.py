@@ -76,16 +76,28 @@ def filter_set_genotypes(spark, sf_dir):
     return fx.variants(spark, sf_dir).select(*fx.KEY, F.inline(calls))
 
 
-SCHEMA = X.Schema({"QUAL": "qual", "POS": "pos", "INFO_DP": "info_dp", "N_ALT": "array(cast(size(alts) as double))"}, {"CHROM": "chrom", "ID": "id", "REF": "ref", "ALT": "alt", "FILTER": "filter"}, {"DP": "dp"})
+SCHEMA = X.Schema(
+    {"QUAL": "qual", "POS": "pos", "INFO_DP": "info_dp", "DPV": "array(cast(info_dp as double), cast(info_dp % 7 as double), cast(info_dp % 3 as double))"},
+    {"CHROM": "chrom", "ID": "id", "REF": "ref", "ALT": "alt", "FILTER": "filter", "TAG": "tag"},
+    {"DP": "dp", "AD": "ad"},
+    flags={"FLAG": "flag"},
+    call_arrays=frozenset({"AD"}),
+)
 
 
 def _filtered(text):
     def run(spark, sf_dir):
-        return fx.variants(spark, sf_dir).where(X.compile_filter(text, SCHEMA).site).select("chrom", "pos", *fx.KEY)
+        depths = F.transform("calls", lambda c: c.withField("ad", F.array(c["dp"] - F.floor(c["dp"] / 3), F.floor(c["dp"] / 3))))
+        rows = fx.variants(spark, sf_dir).withColumns({"calls": depths, "flag": F.col("pos") % 3 == 0, "tag": F.when(F.col("pos") % 5 > 0, F.concat(F.lit("t"), (F.col("pos") % 5).cast("string")))})
+        return rows.where(X.compile_filter(text, SCHEMA).site).select("chrom", "pos", *fx.KEY)
 
     return run
 
 
+_HET, _N_MIS = "(g[i] IN ('0/1', '0|1', '1/2'))", "len(list_filter(g, lambda x: x = './.'))"
+_TYPES = "list_sort(list_distinct(list_transform(CASE WHEN alt = '.' THEN ['.'] ELSE string_split(alt, ',') END, lambda a: " + TYPE + ")))"
+_ALLELES = "list_filter(flatten(list_transform(g, lambda x: string_split_regex(x, '[/|]'))), lambda x: x <> '.')"
+_BINOM = """CASE WHEN {n} = 0 THEN 0.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({k}, {n} - {k}) + 1), lambda j: exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) - {n} * ln(2.0))))) END"""
 _WIDE = f"{G}, w AS (SELECT chrom, pos, ref, alt, id, qual, filter, info_dp, {K}, list(gt ORDER BY sample_id) AS g, list(dp ORDER BY sample_id) AS d FROM gts GROUP BY ALL)"
 for _name, _text, _sql in (
     ("numbers", "QUAL>600 && INFO_DP<=25", "qual > 600 AND info_dp <= 25"),
@@ -100,6 +112,26 @@ for _name, _text, _sql in (
     ("strings", 'ALT="T,C" & CHROM~"[135]$"', "len(list_intersect(string_split(alt, ','), ['T', 'C'])) > 0 AND regexp_matches(chrom, '[135]$')"),
     ("filter_set", 'FILTER="q10" | !(QUAL>100)', "filter = 'q10' OR NOT coalesce(qual > 100, false)"),
     ("selected_sample", "FMT/DP[2]>=30", "d[3] >= 30"),
+    ("flag", "FLAG && QUAL>300", "pos % 3 = 0 AND qual > 300"),
+    ("not_flag", "!FLAG", "pos % 3 <> 0"),
+    ("not_group", "!(FLAG) & POS>10000", "pos % 3 <> 0 AND pos > 10000"),
+    ("genotype_upper", 'GT="HET" & FMT/DP>=58', f"len(list_filter(range(1, 5), lambda i: {_HET} AND d[i] >= 58)) > 0"),
+    ("genotype_regex", 'N_PASS(GT~"^1")>=3', "len(list_filter(g, lambda x: x LIKE '1%')) >= 3"),
+    ("missing_strings", "TAG=TAG", "true"),
+    ("missing_string", 'TAG!="t2"', "pos % 5 <> 2"),
+    ("type_equal", 'TYPE="snp"', f"{_TYPES} = ['snp']"),
+    ("type_overlap", 'TYPE~"indel"', f"list_contains({_TYPES}, 'indel')"),
+    ("lower_case_names", "qual>700 & n_alt=2", "qual > 700 AND alt LIKE '%,%'"),
+    ("f_missing", "F_MISSING>=0.5 & N_SAMPLES=4", f"{_N_MIS} >= 2"),
+    ("mac", "MAC=1", f"list_min(list_concat(list_transform(CASE WHEN alt = '.' THEN [] ELSE range(1, len(string_split(alt, ',')) + 1) END, lambda k: len(list_filter({_ALLELES}, lambda x: x = CAST(k AS VARCHAR)))), [len({_ALLELES}) - list_sum(list_transform(range(0, CASE WHEN alt = '.' THEN 1 ELSE len(string_split(alt, ',')) + 1 END), lambda k: CASE WHEN k = 0 THEN 0 ELSE len(list_filter({_ALLELES}, lambda x: x = CAST(k AS VARCHAR))) END))])) = 1"),
+    ("ilen", "ILEN<0", "len(list_filter(string_split(alt, ','), lambda a: a NOT LIKE '<%' AND a NOT IN ('.', '*') AND length(a) < length(ref))) > 0"),
+    ("values_of_samples", "FMT/AD[:1]>=19", "len(list_filter(d, lambda x: x // 3 >= 19)) > 0"),
+    ("value_of_sample", "FMT/AD[1:0]>35", "d[2] - d[2] // 3 > 35"),
+    ("range_of_samples", "FMT/DP[1-2]>=59", "d[2] >= 59 OR d[3] >= 59"),
+    ("list_of_samples", "FMT/DP[0,3]<2", "d[1] < 2 OR d[4] < 2"),
+    ("site_vector", "DPV[1-]=0", "info_dp % 7 = 0 OR info_dp % 3 = 0"),
+    ("sums_within_samples", "sSUM(FMT/AD)=FMT/DP & FMT/DP>59", "len(list_filter(d, lambda x: x > 59)) > 0"),
+    ("binomial", "binom(FMT/AD)>0.02 & FMT/DP>24", "len(list_filter(d, lambda x: x > 24 AND (" + _BINOM.format(k="(x // 3)", n="x") + ") > 0.02)) > 0"),
 ):
     query(f"{_WIDE} SELECT chrom, pos, {K} FROM w WHERE {_sql}", name=f"filter_expr_{_name}")(_filtered(_text))
 
