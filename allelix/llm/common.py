@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text handled together by the Python operators; one longer text is a chunk of its own.
@@ -19,13 +20,13 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
     """Slices of Arrow batches with about ``limit`` characters of text; null texts become empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = column.fill_null("").to_pandas().str.len().to_numpy() if len(column) else []
+        lengths = pa.compute.utf8_length(column).fill_null(0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if i > start and size + n > limit:
                 yield batch.slice(start, i - start), column.slice(start, i - start).fill_null("").to_pylist()
                 start, size = i, 0
-            size += int(n)
+            size += n
         if start < len(lengths):
             yield batch.slice(start), column.slice(start).fill_null("").to_pylist()
 

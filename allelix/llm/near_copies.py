@@ -46,7 +46,7 @@ FAR_FIRST = 28
 NEAREST = 2
 SLOTS = 1 << 23
 SETS = 256
-WORD_KEYS = 200_000
+WORD_KEYS = 100_000
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -158,6 +158,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 met.clear()
             kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[f.split()[0] for f in MARKED.split(", ")])
+        del known, met
         release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, MARKED)
@@ -285,6 +286,8 @@ def verified(likely: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
                     held[k] = shingles(batch.column(2 + two.index(k))[i].as_py() or "", known)
                 ok[i] = alike(held[two[0]], held[two[1]])
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+        del known, held
+        release()
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -320,6 +323,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(1)], names=["rep", "text"])
             if len(met) > WORD_KEYS:
                 met.clear()
+        del known, met
+        release()
 
     return docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "rep long, text string").dropDuplicates(["rep"])
 
