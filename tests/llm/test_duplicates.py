@@ -147,6 +147,20 @@ def test_tree_search_is_exhaustive():
     assert set(zip(q.tolist(), p.tolist(), strict=True)) == {(i, j) for i in range(100) for j in range(len(points)) if int(points[i] ^ points[j]).bit_count() <= 3}
 
 
+def test_tree_search_follows_some_edges_and_leaves_others_out():
+    points = np.unique(np.random.default_rng(5).integers(0, 1 << 63, simhash.TREE_ROWS, dtype=np.uint64))
+    tree = simhash.BKTree(points)
+    q, p = tree.search(points[:500], simhash.RADIUS)
+    assert set(q.tolist()) == set(range(500)) and all(int(points[i] ^ points[j]).bit_count() <= 3 for i, j in zip(q, p, strict=True))
+    assert tree.followed > 0 and tree.left_out > tree.followed / 4
+
+
+def test_hubs_are_looked_up_like_others(spark):
+    pairs = [(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 400, 7)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.root for r in graph.components(df, hub_links=50).collect()} == {0}
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((60, 16))

@@ -92,3 +92,15 @@ def test_no_labels_and_no_rows(make, spark):
     empty = make([])
     assert language_id.predict(empty, language_id.fit(empty)).collect() == []
     assert language_id.keep_known(docs).columns == docs.columns
+
+
+def test_unlabelled_documents_stay(make):
+    docs = make(["some words here", None, "", "123"], langs=[None] * 4)
+    assert language_id.keep_known(docs).count() == 4
+    assert language_id.keep_known(make([])).count() == 0
+
+
+def test_many_languages_get_fewer_slots():
+    sizes = [language_id.slot_count(n) for n in (0, 1, 42, 500, 50_000)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] == language_id.SLOTS
+    assert all(language_id.slot_count(n) * n * 12 <= language_id.MODEL_BYTES for n in (1, 42, 500, 50_000))
