@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, language, near-duplicates, repeated passages, packing.
 
 Every stage works on all that the one before it kept. All but the last return the columns of
-documents.
+documents, and other columns that the input has. Null, empty and letterless texts go in the first two
+stages (the second keeps them where no language can be learned); repeated rows are near copies of each
+other, of which one stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language; the model is learned from the stage's own input."""
+    """Documents with a main language; the model is learned from the stage's own input. Without labels all stay."""
     return language_id.keep_known(docs)
 
 
@@ -48,7 +50,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Hashes of shingles, suffix order and token ids have no SQL; the stages are tested against brute force.
+#: Hashes of shingles, suffix order and token ids have no SQL. The operators of the stages are tested against
+#: brute force or libraries, the pipeline as a whole only by what it keeps of a small table.
 ORACLE_SQL = None
 
 
