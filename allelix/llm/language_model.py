@@ -34,6 +34,8 @@ DISCOUNT = 0.75
 ADDED = 0.1
 FOLDS, HELD_OUT = 10, 0
 SHARD_BYTES = 16 << 20
+#: Compression of blocks and messages.
+LEVEL = 3
 #: Quantised probabilities: code 0 is none, code c is 10 ** ((c - 255) * STEP).
 STEP = 0.045
 END = b"\n"  # no word holds white space
@@ -217,7 +219,7 @@ def _shuffled(a: np.ndarray) -> bytes:
 
 def packed(*arrays: np.ndarray) -> bytes:
     head = pickle.dumps([(len(a), a.dtype.str) for a in arrays])
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(head)) + head + b"".join(map(_shuffled, arrays)))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<I", len(head)) + head + b"".join(map(_shuffled, arrays)))
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -232,6 +234,46 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def gaps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences inside each run of ascending values; the first of a run (a mask) stays as it is."""
+    out = np.diff(values, prepend=values[:1])
+    out[first] = values[first]
+    return out
+
+
+def without_gaps(held: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The values of ``gaps``; sums may wrap around, their differences don't."""
+    total, at = np.cumsum(held, dtype=np.uint64), np.flatnonzero(first)
+    return total - (total[at] - held[at])[np.cumsum(first) - 1] if len(held) else total
+
+
+def _run_starts(above: np.ndarray | None, first: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, given those of the columns before and the last of them."""
+    return first if above is None else first | np.concatenate(([True], above[1:] != above[:-1]))
+
+
+def packed_grams(size: np.ndarray, count: np.ndarray, split: np.ndarray, words: np.ndarray, n: np.ndarray, columns: np.ndarray) -> bytes:
+    """N-grams that ascend by context and word: both are sent as gaps."""
+    of, first, above, held = np.zeros(len(words), dtype=bool), np.arange(columns.shape[1]) == 0, None, []
+    of[np.cumsum(size) - size] = True
+    for c in columns:
+        first = _run_starts(above, first)
+        held.append(gaps(c, first))
+        above = c
+    return packed(size.astype(np.uint32), count, split, gaps(words, of), n, *held)
+
+
+def unpacked_grams(blob: bytes) -> list[np.ndarray]:
+    """[successors of each context, its count, its parts, words, their counts, *columns of the contexts]"""
+    size, count, split, words, n, *held = unpacked(blob)
+    of, first, above, columns = np.zeros(len(words), dtype=bool), np.arange(len(size)) == 0, None, []
+    of[np.cumsum(size) - size] = True
+    for c in held:
+        first = _run_starts(above, first)
+        columns.append(above := without_gaps(c, first))
+    return [size, count, split, without_gaps(words, of), n, *columns]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -296,9 +338,15 @@ class Words:
             yield shard, 0, packed(counts[part], np.frombuffer(b" ".join([self.words[i] for i in part.tolist()]), dtype=np.uint8))
 
     def learn_words(self, answers: dict, shards: int) -> None:
-        self.number, self.count = np.empty(len(self.words), dtype=np.uint64), np.empty(len(self.words), dtype=np.uint64)
+        number, count = np.empty(len(self.words), dtype=np.uint64), np.empty(len(self.words), dtype=np.uint64)
         for shard, part in self.by_shard(self.word_shards(shards)):
-            self.number[part], self.count[part] = unpacked(answers[0, shard][16:])
+            number[part], count[part] = unpacked(answers[0, shard][16:])
+        # from here on places ascend with numbers, and so do the n-grams of a message: their gaps are small
+        order = np.argsort(number)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.number, self.count, self.tokens = number[order], count[order], place[self.tokens]
+        self.words = [self.words[i] for i in order.tolist()]
 
     # n-grams
 
@@ -323,9 +371,8 @@ class Words:
 
     def context_counts(self, columns: np.ndarray, starts: int) -> np.ndarray:
         """Training counts of one-word contexts."""
-        order = np.argsort(self.number)
-        at = np.minimum(np.searchsorted(self.number[order], columns[0]), max(0, len(order) - 1))
-        return np.where(columns[0] == START_NUMBER, starts, self.count[order[at]]).astype(np.uint64)
+        at = np.minimum(np.searchsorted(self.number, columns[0]), max(0, len(self.number) - 1))
+        return np.where(columns[0] == START_NUMBER, starts, self.count[at]).astype(np.uint64)
 
     def gram_shards(self, k: int, columns: np.ndarray, of: np.ndarray, word: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard of each n-gram, training count and number of parts of each context); a one-word context of many tokens is split by its successors."""
@@ -346,7 +393,7 @@ class Words:
             shard, count, parts = self.gram_shards(k, columns, of, word, totals)
             for s, part in self.by_shard(shard):
                 used, size = np.unique(of[part], return_counts=True)
-                yield s, k, packed(size.astype(np.uint32), count[used], parts[used], self.number[word[part]], counts[part], *columns[:, used])
+                yield s, k, packed_grams(size, count[used], parts[used], self.number[word[part]], counts[part], columns[:, used])
 
     def scores(self, answers: dict, order: int, totals: Totals) -> pa.Table:
         starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if len(self.sizes) else np.zeros(0, np.int64)
@@ -410,7 +457,7 @@ def number_words(shard: int, shards: int, sent: list[bytes]) -> list[bytes]:
 
 def build_level(sent: list[bytes]) -> tuple[bytes, tuple[np.ndarray, np.ndarray]]:
     """A level from the n-grams of all messages; contexts that are split, and their distinct successors here."""
-    parts = [unpacked(m) for m in sent]
+    parts = [unpacked_grams(m) for m in sent]
     size, count, split, words, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
     columns = np.concatenate([np.array(p[5:]) for p in parts], axis=1)
     of = np.repeat(np.arange(len(size)), size)
@@ -441,7 +488,7 @@ def answer_grams(sent: list[bytes]) -> list[bytes]:
     blob, wide = build_level(sent)
     level = Level(mapped(blob))
     # all messages are looked up at once, so that the level is decoded and its contexts are sorted once
-    parts = [unpacked(m) for m in sent]
+    parts = [unpacked_grams(m) for m in sent]
     size, words = (np.concatenate([p[i] for p in parts]) for i in (0, 3))
     found = level.contexts(np.concatenate([np.array(p[5:]) for p in parts], axis=1))
     shares = np.where(found >= 0, level.shares[np.maximum(found, 0)] if len(level.shares) else 0, 0).astype(np.uint8)
