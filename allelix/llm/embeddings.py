@@ -8,6 +8,7 @@ are then counted, exactly, among the members of each component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ from allelix.llm.graph import components, local_roots
 from allelix.session import cut, ship_package
 
 THRESHOLD = 0.95
-PASSES = 24
+#: Passes at least, and the share of pairs at the threshold that all passes together may miss.
+PASSES, MISSED = 24, 1e-3
 BITS = 63
 WINDOW = 256
 BLOCK = 128
@@ -33,6 +35,17 @@ def hyperplanes(dimensions: int, passes: int) -> np.ndarray:
     return np.random.default_rng([SEED, dimensions]).standard_normal((dimensions, passes * BITS))
 
 
+def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> int:
+    """Passes over ``n`` spread-out vectors, growing with the logarithm of ``n`` and faster.
+
+    In one pass a pair meets if it agrees in the leading bits that leave about a window of vectors;
+    it agrees in a bit with the share of the half circle that its angle leaves.
+    """
+    bits = max(0.0, math.log2(max(n, 1) / window))
+    meets = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return max(PASSES, math.ceil(math.log(MISSED) / math.log1p(-meets))) if meets < 1 else PASSES
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length one, in double precision, without overflow or underflow."""
     rows = rows.astype(np.float64)
@@ -174,8 +187,8 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD, group_rows: in
     return found.groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
-    """n_links, component_id and kept of every row of ``vectors``.
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
+    """n_links, component_id and kept of every row of ``vectors``; as many passes as ``passes_for`` says if none are named.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and
     stay. Equal vectors are compared as one and count as links of each other; vectors of different
@@ -189,7 +202,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     classes = rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     # a class is named by its smallest vec_id, which a row of another class may share: by its content as well
     classes = cut(classes.select(F.xxhash64("embedding", "first_id").alias("rep"), "first_id", "copies", "embedding"))
-    linked = cut(components(links(classes, threshold, passes)))
+    linked = cut(components(links(classes, threshold, passes or passes_for(classes.count(), threshold))))
     members = classes.join(linked, F.col("rep") == F.col("node")).select("root", "rep", "copies", "embedding", "first_id")
     counts = count_links(members, threshold).select(F.col("rep").alias("c"), "linked")
     smallest = members.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")

@@ -185,6 +185,12 @@ def test_vectors_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_passes_grow_with_the_rows():
+    sizes = [embeddings.passes_for(n) for n in (0, 1, 10**4, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(sizes) and sizes[2] == embeddings.PASSES < sizes[4] < sizes[5] < 200
+    assert embeddings.passes_for(10**6, 1.0) == embeddings.PASSES
+
+
 def test_parts_of_components_count_alike(spark):
     rng = np.random.default_rng(9)
     rows = [(1, i, int(rng.integers(1, 4)), (np.ones(8) + 0.2 * rng.standard_normal(8)).astype(np.float32).tolist()) for i in range(90)]
