@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from allelix.functions import expressions, formats
 from allelix.functions import variants as V
-from allelix.operators import annotate, intervals, models, normalize, sets
+from allelix.operators import annotate, intervals, islands, models, normalize, sets
 from allelix.plans import catalog
 from allelix.sources import tables, vcf
 
@@ -179,3 +179,75 @@ def test_text_sources_round_trip(spark, tmp_path):
     assert sorted(map(tuple, tables.reference_bases(fasta, 3).collect())) == [("c1", 0, "ACG"), ("c1", 1, "T"), ("c2", 0, "GG")]
     (tmp_path / "p.ped").write_text("f kid dad mum 1\nf dad 0 0 1\n")
     assert [tuple(r) for r in tables.read_pedigree(spark, f"{tmp_path}/p.ped").collect()] == [("f", "kid", "dad", "mum", "1"), ("f", "dad", None, None, "1")]
+
+
+def _runs(spark, rows, schema):
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def _chains(positions, gap):
+    groups = []
+    for p in positions:
+        if groups and p - groups[-1][-1] <= gap:
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+    return groups
+
+
+@pytest.mark.parametrize("span", [1, 4, 16, 1 << 14])
+def test_islands_do_not_depend_on_spans(spark, span):
+    rng = np.random.default_rng(span)
+    pos = sorted(rng.choice(np.arange(1, 130), 90, replace=False).tolist())
+    dp = [int(x) for x in rng.choice([3, 12, 14], 90)]
+    rows = [("a", p, d) for p, d in zip(pos, dp, strict=True)] + [("b", p, 3) for p in range(1, 60)] + [("b", None, 3)]
+    want = [("b", 1, 59, 3, 59)]
+    for i, (p, d) in enumerate(zip(pos, dp, strict=True)):
+        if i and p == pos[i - 1] + 1 and d // 10 == dp[i - 1] // 10:
+            _, beg, _, low, n = want[-1]
+            want[-1] = ("a", beg, p, min(low, d), n + 1)
+        else:
+            want.append(("a", p, p, d, 1))
+    got = islands.depth_blocks(_runs(spark, rows, "chrom string, pos int, dp int"), 10, span).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    # one indel of each cluster, and SNPs apart from indels
+    kinds = [("A", "C") if x else ("A", "AT") for x in rng.random(90) < 0.6]
+    quals = [None if q < 2 else float(q) for q in rng.integers(0, 6, 90)]
+    records = [("a", p, r, a, q, i) for i, (p, (r, a), q) in enumerate(zip(pos, kinds, quals, strict=True))]
+    sites = _runs(spark, records, "chrom string, pos int, ref string, alt string, qual double, k int")
+    indels = [r for r in records if r[3] == "AT"]
+    for gap in (0, 1, 3, 9):
+        far = [r[5] for r in records if r[3] == "C" and all(abs(r[1] - x[1]) > gap for x in indels)]
+        assert sorted(r.k for r in islands.snp_gap(sites, gap, span).collect()) == far
+        best = [min((r for r in indels if r[1] in c), key=lambda r: (-(-1.0 if r[4] is None else r[4]), r[1])) for c in _chains([r[1] for r in indels], gap)]
+        assert sorted(r.k for r in islands.indel_gap(sites, gap, ["k"], span).collect()) == sorted(r[5] for r in best)
+
+
+@pytest.mark.parametrize(("span", "block"), [(1, 2), (8, 7), (1 << 14, 1 << 16)])
+def test_moving_mean_and_numbers_do_not_depend_on_blocks(spark, span, block):
+    pos = sorted(np.random.default_rng(block).choice(np.arange(1, 400), 60, replace=False).tolist())
+    rows = _runs(spark, [("a", p, float(p % 7)) for p in pos] + [("b", 5, 1.0)], "chrom string, pos int, v double")
+    got = {(r.chrom, r.pos): r.m for r in islands.moving_mean(rows, "v", 5, "m", block, span).collect()}
+    want = {("a", p): np.mean([x % 7 for x in pos[max(0, i - 2) : i + 3]]) for i, p in enumerate(pos)} | {("b", 5): 1.0}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("span", [1, 5, 32, 1 << 22])
+def test_merged_regions_and_blocks_do_not_depend_on_spans(spark, span):
+    rng = np.random.default_rng(span)
+    regions = [("a", int(b), int(b + n)) for b, n in zip(rng.integers(1, 300, 25), rng.integers(0, 12, 25), strict=True)]
+    odd = [("a", 9, 3), ("a", None, 4), ("b", 10, 90), ("b", 12, 20)]
+    for gap in (0, 3, 40):
+        want = []
+        for _, b, e in sorted(regions):
+            if want and b <= want[-1][2] + gap + 1:
+                want[-1] = ("a", want[-1][1], max(e, want[-1][2]))
+            else:
+                want.append(("a", b, e))
+        got = intervals.merge_regions(_runs(spark, regions + odd, "chrom string, beg int, end_ int"), gap, span)
+        assert sorted(tuple(r) for r in got.collect()) == [*want, ("b", 10, 90)]
+    blocks = [("a", b, b + 6, s, b + s) for b in range(1, 300, 9) for s in (0, 1)]
+    sites = [("a", int(p), int(s)) for p, s in zip(rng.choice(np.arange(1, 320), 80, replace=False), rng.integers(0, 2, 80), strict=True)]
+    filled = intervals.fill_from_blocks(_runs(spark, sites, "chrom string, pos int, sample_id int"), _runs(spark, blocks, "chrom string, pos int, end_ int, sample_id int, dp int"), span=span)
+    held = {(s, p): dp for _, b, e, s, dp in blocks for p in range(b, e + 1)}
+    assert {(r.sample_id, r.pos): r.block_dp for r in filled.collect()} == {(s, p): held.get((s, p)) for _, p, s in sites}
