@@ -11,7 +11,8 @@ Documents are near copies if their sets of five-word shingles have a Jaccard sim
    one, whose sizes and places allow the similarity and whose 256 bits differ in at most ``FAR``
    (similar sets differ in 39, give or take 6) are candidates.
 3. A group's candidates are not all emitted: in a round each set names its ``NEAREST`` candidates outside its
-   component, those are checked by whole sets and united, and rounds go on until one unites nothing.
+   component, those are checked by whole sets and united. A round that unites nothing is followed by one
+   that names more, up to all, and the end comes when each candidate outside a component has failed the check.
 
 Equality of shingles and of whole sets rests on 64-bit hashes.
 """
@@ -43,7 +44,10 @@ FREQUENT = 100_000
 FAR = 76
 #: The same for the first 64 bits, of which similar sets differ in 10, give or take 3.
 FAR_FIRST = 28
-NEAREST = 2
+#: Candidates that a set names in a list and round at first, and how many times more after a round that unites nothing.
+NEAREST, WIDER = 2, 4
+#: Candidates of a list's set beyond which a round names all of them.
+ALL = 64
 SLOTS = 1 << 23
 SETS = 256
 WORD_KEYS = 100_000
@@ -239,31 +243,46 @@ def tree_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return linked.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def nearest(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rep: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of (i, j, bits) in both directions, the ``NEAREST`` of each i."""
+def nearest(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rep: np.ndarray, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], bool]:
+    """Of (i, j, bits) in both directions, the ``limit`` of each i, and whether any are left out."""
     i, j, far = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((rep[j], far, i))
     i, j, far = i[order], j[order], far[order]
-    place = np.arange(len(i)) - np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))[np.cumsum(np.concatenate(([True], i[1:] != i[:-1]))) - 1]
-    keep = place < NEAREST
-    return [(i[keep], j[keep], far[keep])]
+    starts = np.concatenate(([True], i[1:] != i[:-1]))
+    keep = np.arange(len(i)) - np.flatnonzero(starts)[np.cumsum(starts) - 1] < limit
+    return [(i[keep], j[keep], far[keep])], not keep.all()
 
 
-def pairs(lists: DataFrame, linked: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): in each list every set with its nearest candidates outside its component."""
+def _pairs_of(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    two = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+
+
+def pairs(lists: DataFrame, linked: DataFrame, limit: int = NEAREST) -> DataFrame:
+    """Distinct pairs (a, b): in each list every set with its ``limit`` nearest candidates outside its component.
+
+    A row of nulls says that candidates were left out. Beyond ``ALL`` none are, and nothing is held.
+    """
     named = lists.join(linked, F.col("rep") == F.col("node"), "left").select(*_LIST_NAMES, F.coalesce("root", "rep").alias("root"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = False
         for key, rep, size, pos, *lanes, root in whole_runs(batches):
             best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, j, far in candidates(key, rep, size, pos, lanes, root):
+                if limit > ALL:
+                    yield _pairs_of(rep, i, j)
+                    continue
                 best += [(i, j, far), (j, i, far)]
-                if sum(len(x[0]) for x in best) > 1_000_000 + NEAREST * len(key):
-                    best = nearest(best, rep)
+                if sum(len(x[0]) for x in best) > 1_000_000 + limit * len(key):
+                    best, cut_off = nearest(best, rep, limit)
+                    more |= cut_off
             if best:
-                (i, j, _), = nearest(best, rep)
-                two = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+                ((i, j, _),), cut_off = nearest(best, rep, limit)
+                more |= cut_off
+                yield _pairs_of(rep, i, j)
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, names=["a", "b"])
 
     return named.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
@@ -334,14 +353,19 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     tried = cut(tree_pairs(rows))
     edges = cut(verified(tried, docs, rows))
     linked = cut(components(edges))
-    lists = cut(shared_prefixes(rows))
+    lists, limit = cut(shared_prefixes(rows)), NEAREST
     while True:
-        named = cut(pairs(lists, linked).join(tried, ["a", "b"], "left_anti"))
-        found = cut(verified(named, docs, rows))
-        if found.isEmpty():
+        named = cut(pairs(lists, linked, limit))
+        fresh = cut(named.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"))
+        found = cut(verified(fresh, docs, rows))
+        tried = tried.union(fresh)
+        if not found.isEmpty():
+            edges = edges.union(found)
+            linked = cut(components(edges))
+        elif named.where("a IS NULL").isEmpty():
             return linked
-        tried, edges = tried.union(named), edges.union(found)
-        linked = cut(components(edges))
+        else:
+            limit *= WIDER
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -67,9 +67,10 @@ def brute_shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
 
 
-@pytest.mark.parametrize("sample", [10_000, 0])
-def test_near_copies_against_brute_force(spark, make, odd_texts, sample, monkeypatch):
-    monkeypatch.setattr(near_copies, "SAMPLE_ROWS", sample)
+@pytest.mark.parametrize("sample,limit,most", [(10_000, 2, 64), (0, 1, 2)])
+def test_near_copies_against_brute_force(spark, make, odd_texts, sample, limit, most, monkeypatch):
+    for name, value in (("SAMPLE_ROWS", sample), ("NEAREST", limit), ("ALL", most)):
+        monkeypatch.setattr(near_copies, name, value)
     rnd = random.Random(12)
     draw = lambda n: [f"w{rnd.randint(0, 900)}" for _ in range(n)]
     common = draw(30)
@@ -98,6 +99,33 @@ def test_near_copies_against_brute_force(spark, make, odd_texts, sample, monkeyp
     assert near_copies.keep_first(make([])).collect() == []
 
 
+def test_near_copy_behind_many_nearer_candidates(make, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE_ROWS", 0)  # no shingle is known as frequent: lists are long
+    rnd = random.Random(17)
+    draw = lambda n: [f"w{rnd.randint(0, 1_000_000)}" for _ in range(n)]
+    changed = lambda words, at, n: [*words[:at], *draw(n), *words[at + n :]]
+    one = draw(104)
+    two = changed(one, 40, 7)  # 89 of 111 shingles
+    decoys = [changed(words, rnd.randint(5, 88), 9) for words in (one, two) for _ in range(80)]  # 87 of 113
+    texts = [" ".join(words) for words in (one, two, *decoys)]
+    sets = [brute_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = brute_components(len(texts), near)
+    assert roots[1] == 0
+    assert sorted(r.doc_id for r in near_copies.keep_first(make(texts)).collect()) == sorted(set(roots))
+
+
+@pytest.mark.parametrize("limit,want,left_out", [(1, {(1, 2), (2, 3), (3, 4)}, True), (3, {(a, b) for b in range(2, 5) for a in range(1, b)}, False)])
+def test_pairs_name_the_nearest_and_say_what_is_left_out(spark, limit, want, left_out):
+    bits = (0, 1, 7, 31)
+    lists = spark.createDataFrame([(9, k + 1, 50, 0, x, 0, 0, 0) for k, x in enumerate(bits)], near_copies._LIST)
+    linked = spark.createDataFrame([], "node long, root long")
+    rows = [tuple(r) for r in near_copies.pairs(lists, linked, limit).collect()]
+    assert {r for r in rows if r != (None, None)} == want
+    assert ((None, None) in rows) == left_out
+    assert {tuple(r) for r in near_copies.pairs(lists, linked, near_copies.ALL + 1).collect()} == {(a, b) for b in range(2, 5) for a in range(1, b)}
+
+
 def test_pipeline_removes_near_copies(spark, make, tmp_path):
     rnd = random.Random(13)
     base = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
