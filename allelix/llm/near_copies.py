@@ -44,8 +44,8 @@ FREQUENT = 100_000
 FAR = 76
 #: The same for the first 64 bits, of which similar sets differ in 10, give or take 3.
 FAR_FIRST = 28
-#: Candidates that a set names in a list and round at first, and how many times more after a round that unites nothing.
-NEAREST, WIDER = 2, 4
+#: Candidates that a set names in a list and round at first, and how many times more after a round that unites nothing: all, then.
+NEAREST, WIDER = 2, 64
 #: Candidates of a list's set beyond which a round names all of them.
 ALL = 64
 SLOTS = 1 << 23
