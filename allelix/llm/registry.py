@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from allelix.llm import byte_bpe, embeddings, language_id, language_model, packing, quality, simhash, suffix_dedup, token_counts, warc
+from allelix.llm import byte_bpe, collocations, embeddings, language_id, language_model, line_dedup, packing, quality, resampling, simhash, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": embeddings.op8_embeddings,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_simhash": simhash.op10_simhash,
+        "op11_resampling": resampling.op11_resampling,
+        "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.ORACLE_SQL,
         "op6_warc": warc.ORACLE_SQL,
+        "op11_resampling": resampling.ORACLE_SQL,
+        "op12_line_dedup": line_dedup.ORACLE_SQL,
+        "op13_collocations": collocations.ORACLE_SQL,
     }
