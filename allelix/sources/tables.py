@@ -49,3 +49,24 @@ def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
     alleles = F.split(F.get(p, F.lit(2)), ",")
     rows = spark.read.text(path).where(~F.col("value").rlike("^(#|$)"))
     return rows.select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("int").alias("pos"), F.get(alleles, F.lit(0)).alias("ref"), F.get(alleles, F.lit(1)).alias("alt"), F.get(p, F.lit(3)).cast("double").alias("af"))
+
+
+def read_gff(spark: SparkSession, path: str) -> DataFrame:
+    """Features of a GFF3 file: chrom, type, beg, end_, strand, phase, id, name, parent, biotype.
+
+    Prefixes ``gene:`` and ``transcript:`` of identifiers are taken off; ``is_gene`` tells genes, which are named
+    so or have no parent. Phase is null where it is a dot; comments and ``biological_region`` lines are left out.
+    """
+    p = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").rlike("^(#|$)")).select(p.alias("p")).where(F.size("p") >= 9)
+    attributes = F.split(F.get("p", F.lit(8)), ";")
+    of = lambda *keys: F.get(F.filter(attributes, lambda a: F.substring_index(F.trim(a), "=", 1).isin(*keys)), F.lit(0))
+    value = lambda *keys: F.regexp_replace(of(*keys), "^[^=]*=", "")
+    bare = lambda c: F.regexp_replace(c, "^(gene|transcript):", "")
+    kind = F.get("p", F.lit(2))
+    return rows.where(kind != "biological_region").select(
+        F.get("p", F.lit(0)).alias("chrom"), kind.alias("type"), F.get("p", F.lit(3)).cast("int").alias("beg"), F.get("p", F.lit(4)).cast("int").alias("end_"),
+        F.get("p", F.lit(6)).alias("strand"), F.when(F.get("p", F.lit(7)) != ".", F.get("p", F.lit(7)).cast("int")).alias("phase"),
+        bare(value("ID")).alias("id"), value("Name").alias("name"), bare(value("Parent")).alias("parent"), value("biotype", "gene_biotype").alias("biotype"),
+        ((kind == "gene") | F.coalesce(value("ID").startswith("gene:"), F.lit(False)) | of("Parent").isNull()).alias("is_gene"),
+    )
