@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelix.llm.blocks import stored
 from allelix.llm.common import table
 
 WHITE = " \t\n\u000b\f\r"
@@ -54,7 +55,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents
     """
     docs = docs.select("doc_id", "text")
     keyed = keyed_lines(docs, min_chars)
-    shared = shared_keys(keyed, min_documents)
+    # stored, so that its size is known: a small one is broadcast by Spark, else both sides are dealt anew and a hot key's lines can be split
+    shared = stored(shared_keys(keyed, min_documents))
     lost = keyed.join(shared, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(~F.col("id").eqNullSafe(F.col("last")))
     # equal rows name the same positions: a set, which is made before rows are shuffled too
     drops = lost.groupBy("id", "row").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
