@@ -73,8 +73,9 @@ def allele_number(calls: Column) -> Column:
 
 
 def genotype_index(low: Column, high: Column) -> Column:
-    """Place of an unordered diploid genotype in a likelihood list."""
-    return F.least(low, high) + (F.greatest(low, high) * (F.greatest(low, high) + 1) / 2).cast("int")
+    """Place of an unordered diploid genotype in a likelihood list; null if an allele is."""
+    a, b = F.least(low, high), F.greatest(low, high)
+    return F.when(low.isNotNull() & high.isNotNull(), a + F.shiftright(b * (b + 1), 1))
 
 
 def gather(values: Column, kept: Column) -> Column:
