@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from allelix.functions.variants import trimmed
 
-#: Bases of the reference before a record that it can be moved over at most in one join.
-REACH = 256
 CHUNK = 1 << 14
 
 
@@ -61,7 +59,7 @@ def check_reference(records: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.withColumn("ref_ok", F.upper(F.substring("ref", 1, 1)) == F.col("_b")).drop("_c", "_p", "_b")
 
 
-def with_reference(records: DataFrame, reference: DataFrame, reach: int = REACH, chunk: int = CHUNK) -> DataFrame:
+def with_reference(records: DataFrame, reference: DataFrame, reach: int, chunk: int = CHUNK) -> DataFrame:
     """``records`` with ``before``: up to ``reach`` reference bases that end with the one at POS.
 
     ``reference`` has chrom, first (the position of its first base) and bases, pieces of any length. Each is cut
@@ -78,33 +76,3 @@ def with_reference(records: DataFrame, reference: DataFrame, reach: int = REACH,
     end = (F.col("pos") - F.col("_low") + 1).cast("int")
     start = F.greatest(end - reach + 1, F.lit(1))
     return joined.withColumn("before", F.when(end > 0, F.substr("_b", start, end - start + 1))).drop("_c", "_k", "_low", "_b")
-
-
-def left_align(records: DataFrame, reference: DataFrame, reach: int = REACH) -> DataFrame:
-    """Insertions and deletions, given with one base before them, at the leftmost of their equal places.
-
-    An inserted or deleted string s moves left by one base as long as the base before it is its last one,
-    which then becomes its first: so it moves over the longest run of bases, read leftwards, that repeats s
-    from its end. A record that comes as far as ``reach`` bases is moved so far and can be moved again.
-    """
-    rows = with_reference(records, reference, reach)
-    shorter = F.least(F.length("ref"), F.length("alt"))
-    moves = (shorter == 1) & (F.length("ref") != F.length("alt")) & (F.substring("ref", 1, 1) == F.substring("alt", 1, 1)) & ~F.col("alt").startswith("<")
-    s = F.substr(F.when(F.length("ref") > F.length("alt"), F.col("ref")).otherwise(F.col("alt")), F.lit(2))
-    n, w = F.length(s), F.length("before")
-    # the base before the string must stay inside what is known
-    steps = F.filter(F.sequence(F.lit(0), F.greatest(w - 2, F.lit(0))), lambda i: F.substr("before", w - i, F.lit(1)) != F.substr(s, n - i % n, F.lit(1)))
-    by = F.coalesce(F.array_min(steps), F.greatest(w - 1, F.lit(0)))
-    rows = rows.withColumn("_by", F.when(moves & (w > 0), by).otherwise(0)).withColumn("_s", s)
-    at = F.length("before") - F.col("_by")
-    anchor = F.substr("before", at, F.lit(1))
-    # the string as it stands in its new place: rotated by the number of moves
-    turn = F.col("_by") % F.length("_s")
-    turned = F.concat(F.substr("_s", F.length("_s") - turn + 1, turn), F.substr("_s", F.lit(1), F.length("_s") - turn))
-    moved = F.col("_by") > 0
-    longer = F.concat(anchor, turned)
-    return rows.withColumns({
-        "pos": (F.col("pos") - F.col("_by")).cast("int"),
-        "ref": F.when(~moved, F.col("ref")).when(F.length("ref") > F.length("alt"), longer).otherwise(anchor),
-        "alt": F.when(~moved, F.col("alt")).when(F.length("ref") > F.length("alt"), anchor).otherwise(longer),
-    }).drop("before", "_by", "_s")

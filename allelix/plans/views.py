@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
-from allelix.operators import normalize, sets, views
+from allelix.operators import align, normalize, sets, views
 from allelix.plans import fixtures as fx
 from allelix.plans.core import _ALLELES, _TYPES, CLASS
 from allelix.plans.registry import query
@@ -135,7 +135,49 @@ t AS (SELECT *, CAST(moved % n AS INT) AS turn, {BASE.format(p="pos - moved")} A
 m AS (SELECT *, anchor || substr(s, n - turn + 1, turn) || substr(s, 1, n - turn) AS longer FROM t)
 SELECT chrom, CAST(pos - moved AS INT) AS pos, CASE WHEN deletion THEN longer ELSE anchor END AS ref, CASE WHEN deletion THEN anchor ELSE longer END AS alt, {K} FROM m""")
 def norm_left_align(spark, sf_dir):
-    return normalize.left_align(_indels(spark, sf_dir), _reference(spark)).select("chrom", "pos", "ref", "alt", *fx.KEY)
+    return align.left_align(_indels(spark, sf_dir).drop("alts"), _reference(spark), fx.KEY).select("chrom", "pos", "ref", "alt", *fx.KEY)
+
+
+#: Every second 2,000 bases repeat two bases; elsewhere they are scattered.
+_SPARSE = "CASE WHEN (({p}) - ({p}) % 2000) / 2000 % 2 = 1 THEN substr('AC', CAST(1 + ({p}) % 2 AS INT), 1) ELSE substr('ACGT', CAST(1 + (({p}) * ({p}) % 1009 + ({p}) % 97 * 3) % 4 AS INT), 1) END"
+_LENGTH = "(1 + l_linenumber % 4)"
+
+
+def _run(p: str, n: str) -> str:
+    return " || ".join(f"CASE WHEN {n} > {i} THEN {_SPARSE.format(p=f'{p} + {i}')} ELSE '' END" for i in range(4))
+
+
+@query(f"""WITH {fx.SITES}, base AS (SELECT p, {_SPARSE.format(p="p")} AS b FROM (SELECT unnest(range(1, 20020)) AS p)),
+x AS (SELECT base.p, k.n, base.b <> o.b AS differs FROM base CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) k JOIN base o ON o.p = base.p + k.n),
+m AS (SELECT p, n, coalesce(max(CASE WHEN differs THEN p END) OVER (PARTITION BY n ORDER BY p), 1) AS anchor FROM x),
+s AS (SELECT chrom, pos, {K}, l_partkey % 2 = 0 AS deletion, {_LENGTH} AS n FROM sites),
+t AS (SELECT s.*, anchor, {_SPARSE.format(p="anchor")} AS b, {_SPARSE.format(p="anchor")} || {_run("anchor + 1", "s.n")} AS longer FROM s JOIN m ON m.p = s.pos AND m.n = s.n)
+SELECT chrom, CAST(anchor AS INT) AS pos, CASE WHEN deletion THEN longer ELSE b END AS ref, CASE WHEN deletion THEN b ELSE longer END AS alt, {K} FROM t""")
+def norm_left_align_repeats(spark, sf_dir):
+    """Deleted and doubled strings in repeats of 2,000 bases."""
+    rows = fx.sites(spark, sf_dir).withColumn("_b", F.expr(_SPARSE.format(p="pos"))).withColumn("_l", F.expr(f"_b || {_run('pos + 1', _LENGTH)}"))
+    deletion = F.col("l_partkey") % 2 == 0
+    rows = rows.withColumn("ref", F.when(deletion, F.col("_l")).otherwise(F.col("_b"))).withColumn("alt", F.when(deletion, F.col("_b")).otherwise(F.col("_l")))
+    return align.left_align(rows, _sparse_reference(spark), fx.KEY).select("chrom", "pos", "ref", "alt", *fx.KEY)
+
+
+def _sparse_reference(spark):
+    pieces = spark.range(5 * 21).select(F.concat(F.lit("chr"), (F.col("id") % 5 + 1).cast("string")).alias("chrom"), (F.floor(F.col("id") / 5) * 1000 + 1).alias("first"))
+    return pieces.withColumn("bases", F.expr(f"array_join(transform(sequence(first, first + 999), p -> {_SPARSE.format(p='p')}), '')"))
+
+
+_RB = BASE.format(p="pos")
+
+
+@query(f"""{WIDE}, r AS (SELECT *, {_RB} || CASE WHEN length(ref) > 1 THEN {BASE.format(p="pos + 1")} || {BASE.format(p="pos + 2")} ELSE '' END AS f, CASE WHEN alt = '.' THEN [] ELSE string_split(alt, ',') END AS a FROM w),
+s AS (SELECT *, CASE WHEN ref <> f AND list_contains(a, f) THEN list_position(a, f) ELSE 0 END AS k FROM r),
+g AS (SELECT *, list_transform(g, lambda x: CASE WHEN k = 0 THEN x WHEN x LIKE '%|%' THEN array_to_string(list_transform(string_split(x, '|'), lambda y: CASE y WHEN '0' THEN CAST(k AS VARCHAR) WHEN CAST(k AS VARCHAR) THEN '0' ELSE y END), '|')
+  ELSE array_to_string(list_transform(string_split(x, '/'), lambda y: CASE y WHEN '0' THEN CAST(k AS VARCHAR) WHEN CAST(k AS VARCHAR) THEN '0' ELSE y END), '/') END) AS h FROM s)
+SELECT {K}, f AS ref, array_to_string(list_transform(a, lambda x, i: CASE WHEN i = k THEN ref ELSE x END), ',') AS alt, array_to_string(h, ' ') AS gts FROM g""")
+def norm_set_ref(spark, sf_dir):
+    """REF set to the reference's bases, ALTs and genotypes exchanged where an ALT has them."""
+    rows = align.check_ref(fx.variants(spark, sf_dir), _reference(spark), fx.KEY, "set")
+    return rows.select(*fx.KEY, "ref", F.array_join("alts", ",").alias("alt"), F.array_join(F.transform("calls", lambda c: c["gt"]), " ").alias("gts"))
 
 
 @query(f"WITH {fx.SITES} SELECT chrom, count_if(substr(ref, 1, 1) = {BASE.format(p='pos')}) AS matching, count_if(substr(ref, 1, 1) <> {BASE.format(p='pos')}) AS mismatching FROM sites GROUP BY chrom")
