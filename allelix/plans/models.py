@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from allelix.operators import intervals, models
+from allelix.operators import hmm, intervals, models
 from allelix.plans import fixtures as fx
 from allelix.plans.registry import query
 from allelix.sources import vcf
@@ -88,3 +88,42 @@ def roh_segments(spark, sf_dir):
 @query()
 def polysomy_components(spark, sf_dir):
     return models.mixture_components(fx.genotypes(spark, sf_dir).select("chrom", F.col("dp").alias("bin")), 61)
+
+
+_RARE = "0.1"
+_HW = f"(p0 * (1 - af) * (1 - af) + 2 * p1 * af * (1 - af) + p2 * af * af)"
+_STEP = "CAST(round(ln({}) * 1000000) AS BIGINT)"
+_KEPT = "pow(1 - 0.02 - 0.01, gap)"
+_UP, _DOWN = f"(0.02 / 0.03 * (1 - {_KEPT}))", f"(0.01 / 0.03 * (1 - {_KEPT}))"
+_WAY = "held.v{i} + site.t{i}{j}"
+
+
+def _next(j: int) -> str:
+    stay, change = _WAY.format(i=0, j=j), _WAY.format(i=1, j=j)
+    return f"v{j} := greatest({stay}, {change}) + site.e{j}, s{j} := CASE WHEN {stay} >= {change} THEN held.s0 ELSE held.s1 END || '{j}'"
+
+
+#: The whole contig decoded site by site; paths are strings of states.
+ROH_SQL = f"""{G}, one AS (SELECT * FROM gts WHERE alt NOT LIKE '%,%' AND alt NOT LIKE '<%' AND alt <> '.' QUALIFY row_number() OVER (PARTITION BY chrom, pos, sample_id ORDER BY {K}) = 1),
+n AS (SELECT *, sum(CASE WHEN gt IN ('0/1', '0|1', '1') THEN 1 WHEN gt = '1/1' THEN 2 ELSE 0 END) OVER (PARTITION BY chrom, pos) / nullif(sum(CASE WHEN gt = './.' THEN 0 WHEN gt = '1' THEN 1 ELSE 2 END) OVER (PARTITION BY chrom, pos), 0)::DOUBLE AS af FROM one),
+p AS (SELECT *, CASE WHEN gt = '0/0' THEN 1 - 2 * {_RARE} ELSE {_RARE} END AS p0, CASE WHEN gt IN ('0/1', '0|1') THEN 1 - 2 * {_RARE} ELSE {_RARE} END AS p1, CASE WHEN gt = '1/1' THEN 1 - 2 * {_RARE} ELSE {_RARE} END AS p2
+  FROM n WHERE gt IN ('0/0', '0/1', '0|1', '1/1') AND af > 0 AND af < 1),
+g AS (SELECT *, pos - lag(pos, 1, pos) OVER (PARTITION BY sample_id, chrom ORDER BY pos) AS gap FROM p),
+e AS (SELECT sample_id, chrom, pos, {_STEP.format(_HW)} AS e0, {_STEP.format("(p0 * (1 - af) + p2 * af)")} AS e1, {_STEP.format(f"(1 - {_UP})")} AS t00, {_STEP.format(f"greatest({_UP}, 1e-300)")} AS t01, {_STEP.format(f"greatest({_DOWN}, 1e-300)")} AS t10, {_STEP.format(f"(1 - {_DOWN})")} AS t11 FROM g),
+l AS (SELECT sample_id, chrom, list(struct_pack(v0 := 0::BIGINT, s0 := '', v1 := 0::BIGINT, s1 := '', e0 := e0, e1 := e1, t00 := t00, t01 := t01, t10 := t10, t11 := t11) ORDER BY pos) AS x, list(pos ORDER BY pos) AS places FROM e GROUP BY ALL),
+f AS (SELECT sample_id, chrom, places, list_reduce(list_prepend(struct_pack(v0 := x[1].e0, s0 := '0', v1 := x[1].e1, s1 := '1', e0 := 0::BIGINT, e1 := 0::BIGINT, t00 := 0::BIGINT, t01 := 0::BIGINT, t10 := 0::BIGINT, t11 := 0::BIGINT), x[2:]),
+  lambda held, site: struct_pack({_next(0)}, {_next(1)}, e0 := 0::BIGINT, e1 := 0::BIGINT, t00 := 0::BIGINT, t01 := 0::BIGINT, t10 := 0::BIGINT, t11 := 0::BIGINT)) AS r FROM l),
+s AS (SELECT sample_id, chrom, unnest(places) AS pos, unnest(string_split(CASE WHEN r.v0 >= r.v1 THEN r.s0 ELSE r.s1 END, '')) AS state FROM f),
+i AS (SELECT *, row_number() OVER (PARTITION BY sample_id, chrom ORDER BY pos) - row_number() OVER (PARTITION BY sample_id, chrom, state ORDER BY pos) AS island FROM s)
+SELECT sample_id, chrom, CAST(min(pos) AS INT) AS beg, CAST(max(pos) AS INT) AS end_, count(*) AS n FROM i WHERE state = '1' GROUP BY sample_id, chrom, island"""
+
+
+@query(ROH_SQL)
+def roh_spans(spark, sf_dir):
+    """Autozygous runs of each sample, by frequencies of its own cohort, decoded in spans of 2,000 positions."""
+    rows = fx.genotypes(spark, sf_dir).where(~F.col("alt").rlike("[,<]") & (F.col("alt") != "."))
+    one = rows.groupBy("chrom", "pos", "sample_id").agg(F.min_by("gt", F.struct(*fx.KEY)).alias("gt"))
+    held = F.when(F.col("gt").isin("0/1", "0|1", "1"), 1).when(F.col("gt") == "1/1", 2).otherwise(0)
+    counts = one.groupBy("chrom", "pos").agg((F.sum(held) / F.nullif(F.sum(F.when(F.col("gt") == "./.", 0).when(F.col("gt") == "1", 1).otherwise(2)), F.lit(0))).alias("af"))
+    scored = hmm.autozygosity_scores(one.join(counts, ["chrom", "pos"]), 10.0)
+    return hmm.segments(hmm.decode(scored, 0.02, 0.01, 2000)).select("sample_id", "chrom", "beg", "end_", "n")
