@@ -464,7 +464,11 @@ class _Parser:
 
 
     def binomial(self, first: Truth | Value, second: Truth | Value | None) -> Value:
-        """Two-sided probability of a list's first two numbers, or of two lists' first ones, as draws of a fair coin."""
+        """Two-sided probability of two numbers as draws of a fair coin: two lists' first ones, or those of one list.
+
+        Of one list of a call the numbers are those of the two alleles that its genotype names, elsewhere and where
+        the genotype names none, or one that the list doesn't hold, the first two.
+        """
         self.need(")")
         if isinstance(first, Truth) or isinstance(second, Truth):
             raise ExpressionError("binom needs values")
@@ -472,7 +476,15 @@ class _Parser:
         head = lambda a, i: F.get(a, F.lit(i))
         if second is None:
             one = lambda a: of(head(a, 0), head(a, 1))
-            return Value(F.transform(first.column, one) if first.per_sample else one(first.column), first.per_sample, False)
+            if not first.per_sample:
+                return Value(one(first.column), False, False)
+
+            def named(a: Column, call: Column) -> Column:
+                gt = V.gt_alleles(call["gt"])
+                x, y = F.get(a, F.get(gt, F.lit(0))), F.get(a, F.get(gt, F.lit(1)))
+                return F.when(x.isNotNull() & y.isNotNull(), of(x, y)).otherwise(one(a))
+
+            return Value(F.zip_with(first.column, F.col(self.schema.calls), named), True, False)
         if first.per_sample != second.per_sample:
             raise ExpressionError("binom needs two fields of one kind")
         two = lambda a, b: of(head(a, 0), head(b, 0))

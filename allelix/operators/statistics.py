@@ -27,7 +27,10 @@ def summary(sites: DataFrame) -> DataFrame:
 
 
 def substitutions(sites: DataFrame) -> DataFrame:
-    return _types(sites).where("type = 'snp' AND length(ref) = 1").groupBy(F.concat("ref", F.lit(">"), "a").alias("change")).agg(F.count("*").alias("n"))
+    """Counts of all twelve changes of one base, 0 for those that don't occur."""
+    seen = _types(sites).where("type = 'snp' AND length(ref) = 1").groupBy(F.concat("ref", F.lit(">"), "a").alias("change")).agg(F.count("*").alias("n"))
+    every = sites.sparkSession.createDataFrame([(f"{r}>{a}", 0) for r in "ACGT" for a in "ACGT" if r != a], "change string, n long")
+    return seen.unionByName(every).groupBy("change").agg(F.sum("n").alias("n"))
 
 
 def tstv(sites: DataFrame) -> DataFrame:

@@ -14,8 +14,11 @@ def keep_samples(variants: DataFrame, samples: list[int]) -> DataFrame:
     return rows.withColumns({"ac": V.allele_counts(F.col("calls"), F.size("alts")), "an": V.allele_number(F.col("calls"))})
 
 
-def without_unused_alts(variants: DataFrame) -> DataFrame:
-    """ALTs that no call holds are taken out, and the alleles of the calls are numbered anew."""
+def without_unused_alts(variants: DataFrame, numbers: dict[str, str] | None = None) -> DataFrame:
+    """ALTs that no call holds are taken out, and the alleles of the calls are numbered anew.
+
+    Fields of calls in ``numbers`` keep their elements for the alleles that stay: one for each ALT (``A``), allele (``R``) or genotype (``G``).
+    """
     used = F.filter(F.sequence(F.lit(1), F.greatest(F.size("alts"), F.lit(1))), lambda k: F.exists("calls", lambda c: F.array_contains(V.gt_alleles(c["gt"]), k)))
     rows = variants.withColumn("_used", F.when(F.size("alts") > 0, used).otherwise(F.array().cast("array<int>")))
 
@@ -23,7 +26,16 @@ def without_unused_alts(variants: DataFrame) -> DataFrame:
         parts = F.transform(F.split(gt, "[/|]"), lambda a: F.when(a.isin(".", "0"), a).otherwise(F.array_position("_used", a.cast("int")).cast("string")))
         return F.when(gt.contains("|"), F.array_join(parts, "|")).otherwise(F.array_join(parts, "/"))
 
-    calls = F.transform("calls", lambda c: c.withField("gt", numbered(c["gt"])))
+    stay = F.concat(F.array(F.lit(0)), F.col("_used"))
+
+    def trimmed(call: Column) -> Column:
+        out = call.withField("gt", numbered(call["gt"]))
+        for name, kind in (numbers or {}).items():
+            kept = {"A": lambda v: V.gather(v, F.transform("_used", lambda k: k - 1)), "R": lambda v: V.gather(v, stay), "G": lambda v: V.gather_genotypes(v, stay)}[kind]
+            out = out.withField(name, F.when(call[name].isNotNull(), kept(call[name])))
+        return out
+
+    calls = F.transform("calls", trimmed)
     return rows.withColumn("calls", calls).withColumn("alts", F.transform("_used", lambda k: F.get("alts", k - 1))).drop("_used")
 
 

@@ -98,6 +98,9 @@ def _filtered(text):
 _HET, _N_MIS = "(g[i] IN ('0/1', '0|1', '1/2'))", "len(list_filter(g, lambda x: x = './.'))"
 _TYPES = "list_sort(list_distinct(list_transform(CASE WHEN alt = '.' THEN ['.'] ELSE string_split(alt, ',') END, lambda a: " + TYPE + ")))"
 _ALLELES = "list_filter(flatten(list_transform(g, lambda x: string_split_regex(x, '[/|]'))), lambda x: x <> '.')"
+#: Depths of the two alleles that a genotype names, or else the first two.
+_DEPTH = "(CASE WHEN substr(g[s], {i}, 1) = '1' THEN d[s] - d[s] // 3 ELSE d[s] // 3 END)"
+_PAIR = [f"(CASE WHEN regexp_full_match(g[s], '[01][/|][01]') THEN {_DEPTH.format(i=i)} ELSE {other} END)" for i, other in ((1, "d[s] // 3"), (3, "d[s] - d[s] // 3"))]
 _BINOM = """CASE WHEN {n} = 0 THEN 0.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({k}, {n} - {k}) + 1), lambda j: exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) - {n} * ln(2.0))))) END"""
 _WIDE = f"{G}, w AS (SELECT chrom, pos, ref, alt, id, qual, filter, info_dp, {K}, list(gt ORDER BY sample_id) AS g, list(dp ORDER BY sample_id) AS d FROM gts GROUP BY ALL)"
 for _name, _text, _sql in (
@@ -132,7 +135,7 @@ for _name, _text, _sql in (
     ("list_of_samples", "FMT/DP[0,3]<2", "d[1] < 2 OR d[4] < 2"),
     ("site_vector", "DPV[1-]=0", "info_dp % 7 = 0 OR info_dp % 3 = 0"),
     ("sums_within_samples", "sSUM(FMT/AD)=FMT/DP & FMT/DP>59", "len(list_filter(d, lambda x: x > 59)) > 0"),
-    ("binomial", "binom(FMT/AD)>0.02 & FMT/DP>24", "len(list_filter(d, lambda x: x > 24 AND (" + _BINOM.format(k="(x // 3)", n="x") + ") > 0.02)) > 0"),
+    ("binomial", "binom(FMT/AD)>0.02 & FMT/DP>24", f"len(list_filter(range(1, 5), lambda s: d[s] > 24 AND ({_BINOM.format(k=_PAIR[0], n='(' + ' + '.join(_PAIR) + ')')}) > 0.02)) > 0"),
 ):
     query(f"{_WIDE} SELECT chrom, pos, {K} FROM w WHERE {_sql}", name=f"filter_expr_{_name}")(_filtered(_text))
 
@@ -294,7 +297,7 @@ def stats_summary(spark, sf_dir):
     return statistics.summary(fx.sites(spark, sf_dir))
 
 
-@query(f"{S}, {ALTS}, t AS (SELECT *, {TYPE} AS type FROM alts) SELECT ref || '>' || a AS change, count(*) AS n FROM t WHERE type = 'snp' AND length(ref) = 1 GROUP BY 1")
+@query(f"{S}, {ALTS}, t AS (SELECT *, {TYPE} AS type FROM alts) SELECT r.x || '>' || s.x AS change, CAST(coalesce(sum(CASE WHEN type = 'snp' AND ref = r.x AND a = s.x THEN 1 END), 0) AS BIGINT) AS n FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x) r JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS x) s ON r.x <> s.x LEFT JOIN t ON ref = r.x AND a = s.x GROUP BY 1")
 def stats_substitutions(spark, sf_dir):
     return statistics.substitutions(fx.sites(spark, sf_dir))
 

@@ -80,6 +80,17 @@ def vcf_lines(spark, sf_dir):
     return sites.select(vcf.lines(sites).alias("line"))
 
 
+_NUMBERS = ["l_discount * l_tax / 7", "l_extendedprice * 97", "-l_tax / 3000 * l_discount", "l_quantity * 100000 + 0.5", "l_extendedprice * 1e30 * l_tax"]
+_SHOWN = ", ".join(f"printf('%g', CAST(CAST({e} AS FLOAT) AS DOUBLE)) AS v{i}" for i, e in enumerate(_NUMBERS))
+
+
+@query(f"SELECT {K}, {_SHOWN} FROM lineitem".replace("printf('%g', CAST(CAST(-l_tax / 3000 * l_discount AS FLOAT) AS DOUBLE))", "replace(printf('%g', CAST(CAST(-l_tax / 3000 * l_discount AS FLOAT) AS DOUBLE)), '-0', CASE WHEN l_tax * l_discount = 0 THEN '0' ELSE '-0' END)"))
+def vcf_numbers(spark, sf_dir):
+    """Numbers as records show them: small, large, negative, and ties between two last digits."""
+    rows = fx.table(spark, sf_dir, "lineitem")
+    return rows.select(*fx.KEY, *(vcf.shown_number(F.expr(e.replace("1e30", "1e30D"))).alias(f"v{i}") for i, e in enumerate(_NUMBERS)))
+
+
 @query()
 def roh_segments(spark, sf_dir):
     return models.autozygous_segments(fx.genotypes(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from allelix.functions import variants as V
 from allelix.operators import align, normalize, sets, views
 from allelix.plans import fixtures as fx
+from allelix.plans import merges
 from allelix.plans.core import _ALLELES, _TYPES, CLASS
 from allelix.plans.registry import query
 
@@ -68,6 +69,16 @@ def view_trim_alts(spark, sf_dir):
     return rows.select("chrom", "pos", *fx.KEY, F.array_join("alts", ",").alias("alt"), F.array_join(F.transform("calls", lambda c: c["gt"]), " ").alias("gts"))
 
 
+@query(f"""{WIDE}, s AS (SELECT *, {N_ALT} AS n, list_filter(range(0, {N_ALT} + 1), lambda k: k = 0 OR list_contains({_ALLELES}, CAST(k AS VARCHAR))) AS u FROM w)
+SELECT {K}, array_to_string(list_transform(range(0, 4), lambda c: array_to_string(list_transform(u, lambda k: CAST((info_dp + k * 7 + c * 3) % 41 AS VARCHAR)), ',') || ':' ||
+ array_to_string(flatten(list_transform(range(1, len(u) + 1), lambda h: list_transform(range(1, h + 1), lambda l: CAST((info_dp * 5 + (u[l] + u[h] * (u[h] + 1) // 2) * 11 + c) % 97 AS VARCHAR)))), ',')), ' ') AS lists FROM s""")
+def view_trim_lists(spark, sf_dir):
+    """Depths and likelihoods of the alleles that some call holds."""
+    rows = views.without_unused_alts(merges.calls_with_lists(fx.variants(spark, sf_dir)), {"ad": "R", "pl": "G"})
+    joined = lambda v: F.array_join(v.cast("array<string>"), ",")
+    return rows.select(*fx.KEY, F.array_join(F.transform("calls", lambda c: F.concat_ws(":", joined(c["ad"]), joined(c["pl"]))), " ").alias("lists"))
+
+
 @query(f"""WITH {fx.SITES}, {fx.GTS}, c AS (SELECT {K}, {CLASS} AS cls FROM gts),
 n AS (SELECT {K}, count_if(cls = 'hom_ref') AS rr, count_if(cls = 'het') AS ra, count_if(cls = 'hom_alt') AS aa FROM c GROUP BY {K}),
 p AS (SELECT *, rr + ra + aa AS t, (2 * rr + ra) / (2.0 * (rr + ra + aa)) AS p FROM n WHERE rr + ra + aa > 0),

@@ -117,15 +117,37 @@ def info_map(info: Column) -> Column:
 def shown_number(x: Column) -> Column:
     """A number as a 32-bit float with six significant digits, without trailing zeros; a dot for none.
 
-    From a million on, and below 0.0001, the form with an exponent of two digits or more is used.
+    From a million on, and below 0.0001, the form with an exponent of two digits or more is used. The value is
+    rounded from its 17 digits, ties to an even sixth one, and the point is moved inside the digits.
     """
     value = x.cast("float").cast("double")
-    form = F.format_string("%.5e", value)
-    digits, exponent = F.substring_index(form, "e", 1), F.substring_index(form, "e", -1).cast("int")
-    plain = lambda text: F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")).otherwise(text)
-    fixed = plain(F.concat(F.when(value < 0, "-").otherwise(""), F.abs(digits.cast("decimal(38,10)") * F.pow(F.lit(10.0), F.greatest(exponent, F.lit(-5))).cast("decimal(20,10)")).cast("decimal(38,10)").cast("string")))
-    far = F.concat(plain(digits), F.lit("e"), F.substring_index(form, "e", -1))
-    return F.when(x.isNull() | F.isnan(value), ".").when(value == 0, "0").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).when((exponent < -4) | (exponent >= 6), far).otherwise(fixed)
+    half = 5 * 10**10
+
+    def rounded(form: Column) -> Column:
+        every = F.translate(F.substring_index(form, "e", 1), ".", "")
+        head, rest = F.substr(every, F.lit(1), F.lit(6)).cast("long"), F.substr(every, F.lit(7)).cast("long")
+        up = (rest > half) | ((rest == half) & (head % 2 == 1))
+        return F.struct((head + F.when(up, 1).otherwise(0)).alias("head"), F.substring_index(form, "e", -1).cast("int").alias("exponent"))
+
+    def carried(r: Column) -> Column:
+        over = r["head"] == 10**6
+        return F.struct(F.when(over, "1").otherwise(F.regexp_replace(r["head"].cast("string"), "0+$", "")).alias("digits"), (r["exponent"] + F.when(over, 1).otherwise(0)).alias("exponent"))
+
+    def text(r: Column) -> Column:
+        digits, exponent = r["digits"], r["exponent"]
+        n, size = F.length(digits), F.abs(exponent).cast("string")
+        whole = F.when(n > exponent + 1, F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2))).otherwise(F.rpad(digits, exponent + 1, F.lit("0")))
+        plain = F.when(exponent >= 0, whole).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0))), digits))
+        fraction = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+        far = F.concat(F.substr(digits, F.lit(1), F.lit(1)), fraction, F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+        return F.when((exponent < -4) | (exponent >= 6), far).otherwise(plain)
+
+    # each step is worked out once: as the one element of an array
+    shown = F.array(F.format_string("%.16e", F.abs(value)))
+    for step in (rounded, carried, text):
+        shown = F.transform(shown, step)
+    finite = F.concat(F.when(value < 0, "-").otherwise(""), F.get(shown, F.lit(0)))
+    return F.when(x.isNull() | F.isnan(value), ".").when(value == 0, "0").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).otherwise(finite)
 
 
 def info_text(fields: dict[str, Column]) -> Column:

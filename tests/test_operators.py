@@ -251,3 +251,33 @@ def test_merged_regions_and_blocks_do_not_depend_on_spans(spark, span):
     filled = intervals.fill_from_blocks(_runs(spark, sites, "chrom string, pos int, sample_id int"), _runs(spark, blocks, "chrom string, pos int, end_ int, sample_id int, dp int"), span=span)
     held = {(s, p): dp for _, b, e, s, dp in blocks for p in range(b, e + 1)}
     assert {(r.sample_id, r.pos): r.block_dp for r in filled.collect()} == {(s, p): held.get((s, p)) for _, p, s in sites}
+
+
+def test_numbers_are_shown_with_six_digits_and_even_ties(spark):
+    values = [0.00123456, 0.0123456, 0.00034567, -0.00012345, 100000.5, 100001.5, 1234565.0, 999999.5, 9.9999995, 1e-5, 12.5, -0.0, 3e38, 123456.0, 0.1, 1e10]
+    import numpy as np
+
+    from allelix.sources import vcf
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", vcf.shown_number(F.col("v")).alias("s")).collect()
+    assert {r.i: r.s for r in rows} == {i: ("%g" % float(np.float32(v))).replace("-0", "-0" if v else "0") for i, v in enumerate(values)}
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "v double").select(vcf.shown_number(F.col("v")).alias("s")).collect()
+    assert [r.s for r in odd] == [".", ".", "inf", "-inf"]
+
+
+def test_overlaps_of_records_with_maps(spark):
+    from allelix.operators import intervals
+
+    rows = spark.createDataFrame([("c", 10, "A" * 500, {"DP": "3", "AF": None}, [{"x": 1}]), ("c", 10, "A" * 500, {"DP": "4", "AF": None}, None), ("c", 900, "A" * 500, {}, []), ("c", 10, "A" * 500, None, [])], "chrom string, pos int, ref string, info map<string,string>, more array<map<string,int>>")
+    regions = spark.createDataFrame([("c", 300, 301)], "chrom string, beg int, end_ int")
+    assert intervals.overlap(rows, regions, width=64).count() == 3 and intervals.overlap(rows, regions, how="left_anti", width=64).collect()[0].pos == 900
+
+
+def test_binom_takes_the_alleles_of_the_genotype(spark):
+    from allelix.functions import expressions as E
+
+    call = "gt string, ad array<int>"
+    rows = spark.createDataFrame([(1, [("0/2", [20, 0, 20])]), (2, [("0/1", [20, 0, 20])]), (3, [("./.", [20, 0, 20])]), (4, [("0/3", [5, 5])]), (5, [("1", [6, 6])]), (6, [(None, [6, 6])])], f"k int, calls array<struct<{call.replace('gt ', 'gt: ').replace('ad ', 'ad: ')}>>")
+    schema = E.Schema({}, {}, {"AD": "ad"}, call_arrays=frozenset(["AD"]))
+    truth = E.compile_filter("binom(FMT/AD)>0.5", schema)
+    assert {r.k for r in rows.where(truth.site).collect()} == {1, 4, 5, 6}
