@@ -51,7 +51,7 @@ def _select(columns: dict[str, str]) -> str:
 
 SITES = f"sites AS (SELECT {_select(SITE_COLUMNS)} FROM lineitem)"
 GTS = f"gts AS (SELECT *, {GT} AS gt, {DP} AS dp FROM sites CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS sample_id) k)"
-REGIONS = f"regions AS (SELECT DISTINCT {_select(REGION_COLUMNS)} FROM orders WHERE o_orderkey % 5 = 0)"
+REGIONS = f"regions AS (SELECT DISTINCT {_select(REGION_COLUMNS)} FROM orders)"
 SETS = "a AS (SELECT * FROM sites WHERE l_orderkey % 3 <> 0), b AS (SELECT * FROM sites WHERE l_orderkey % 3 <> 1)"
 
 
@@ -76,7 +76,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr(*(f"{e} AS {n}" for n, e in REGION_COLUMNS.items())).distinct()
+    return table(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {n}" for n, e in REGION_COLUMNS.items())).distinct()
 
 
 def set_a(spark: SparkSession, sf_dir: str) -> DataFrame:
