@@ -17,6 +17,8 @@ from allelix.functions import variants as V
 
 #: Expected share of variant sites, phred scale and the highest genotype quality.
 THETA, PHRED, MOST_GQ = 1.1e-3, -4.34294, 127.0
+#: Fixed value: the chance that a child's genotype is not inherited.
+NOVEL = 1e-8
 
 
 def log_prior(samples: int, theta: float = THETA) -> float:
@@ -48,13 +50,33 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def call_alleles(sites: DataFrame, samples: int, theta: float = THETA) -> DataFrame:
+def _inherited(father: Column, mother: Column, child: Column) -> Column:
+    """Share of the four ways to pass on one allele of each parent that give the child's genotype."""
+    ways = [(x, y) for x in (father["i"], father["j"]) for y in (mother["i"], mother["j"])]
+    gives = [F.when((F.least(x, y) == child["i"]) & (F.greatest(x, y) == child["j"]), 0.25).otherwise(0.0) for x, y in ways]
+    return gives[0] + gives[1] + gives[2] + gives[3]
+
+
+def _family(father: Column, mother: Column, child: Column, novel: float) -> Column:
+    """All triples of genotypes that are possible at all: joint likelihood ``w``, their order, and the genotypes f, m and c."""
+    likely = lambda w: F.filter(w, lambda x: x["w"] > 0)
+
+    def triple(a: Column, b: Column, c: Column) -> Column:
+        joint = a["w"] * b["w"] * c["w"] * (novel + (1 - novel) * _inherited(a["g"], b["g"], c["g"]))
+        return F.struct(joint.alias("w"), F.struct(a["order"].alias("a"), b["order"].alias("b"), c["order"].alias("c")).alias("order"), a["g"].alias("f"), b["g"].alias("m"), c["g"].alias("c"))
+
+    return F.flatten(F.transform(likely(father), lambda a: F.flatten(F.transform(likely(mother), lambda b: F.transform(likely(child), lambda c: triple(a, b, c))))))
+
+
+def call_alleles(sites: DataFrame, samples: int, theta: float = THETA, trios: list[tuple[int, int, int]] | None = None, novel: float = NOVEL) -> DataFrame:
     """``sites`` with ``kept`` (numbers of the alleles called, REF first), ``best`` (the likeliest set), ``qual``, and calls with ``gt`` and ``gq``.
 
     ``sites`` has alts, qs (the share of each allele among all bases, REF first) and calls with pl (a likelihood for each genotype, as
     phred); all calls are diploid. Genotypes are numbered by ``kept`` and range over the likeliest set. Samples without likelihoods are ``./.``; at a site
     with REF alone all others are ``0/0``. Sets with an allele without share are only those of one. Of equally likely sets and genotypes the
-    first counts: fewer alleles and lower numbers, homozygotes before others. A site on which no sample tells anything has REF and a null quality.
+    first counts: fewer alleles and lower numbers, homozygotes before others. The members of ``trios`` (places of child, father and mother
+    among the calls) are called together: by the product of their likelihoods and the chance that the child inherits its genotype, or has
+    it anew with ``novel``; their qualities are of the sums over what the others may have. A trio with a silent member is called singly. A site on which no sample tells anything has REF and a null quality.
     """
     n = F.size("alts") + 1
     prior = log_prior(samples, theta)
@@ -117,4 +139,26 @@ def call_alleles(sites: DataFrame, samples: int, theta: float = THETA) -> DataFr
         return c.withField("gt", gt).withField("gq", F.when(w.isNotNull() & variant, gq.cast("int")).otherwise(0))
 
     rows = rows.withColumn("calls", F.zip_with("calls", "_w", call))
-    return rows.drop("_p", "_told", "_sets", "_parts", "_lk", "_ref", "_sum", "_pairs", "_w")
+    for child, father, mother in trios or []:
+        of = lambda i: F.get("_w", F.lit(i))
+        rows = rows.withColumn("_trio", F.when(variant & of(child).isNotNull() & of(father).isNotNull() & of(mother).isNotNull(), _family(of(father), of(mother), of(child), novel)))
+        rows = rows.withColumn("_first", F.array_max("_trio"))
+        found = F.col("_first").isNotNull()
+        total = _total(F.transform("_trio", lambda x: x["w"]))
+        for place, who in ((child, "c"), (father, "f"), (mother, "m")):
+            rows = rows.withColumn("calls", F.transform("calls", _member(place, who, found, total)))
+    return rows.drop("_trio", "_first", "_p", "_told", "_sets", "_parts", "_lk", "_ref", "_sum", "_pairs", "_w")
+
+
+def _member(place: int, who: str, found: Column, total: Column):
+    """The rewriting of one member's call by the likeliest triple of its trio."""
+
+    def rewrite(call: Column, i: Column) -> Column:
+        g = F.col("_first")[who]
+        mine = _total(F.transform(F.filter("_trio", lambda x: (x[who]["i"] == g["i"]) & (x[who]["j"] == g["j"])), lambda x: x["w"]))
+        p = mine / total
+        gq = F.when(p >= 1, MOST_GQ).otherwise(F.floor(F.least(PHRED * F.log(1 - p), F.lit(MOST_GQ)))).cast("int")
+        joint = call.withField("gt", F.concat_ws("/", g["i"].cast("string"), g["j"].cast("string"))).withField("gq", gq)
+        return F.when(found & (i == place), joint).otherwise(call)
+
+    return rewrite

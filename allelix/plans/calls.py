@@ -39,6 +39,15 @@ def call_multiallelic(spark, sf_dir):
     """Alleles, qualities and genotypes of all sites, from likelihoods of every genotype."""
     rows = calls_with_lists(fx.variants(spark, sf_dir))
     qs = F.expr(f"transform(sequence(0, size(alts)), i -> {_QS.format(i='i')})")
-    called = calling.call_alleles(rows.withColumn("qs", qs).where(F.size("alts") > -1), fx.SAMPLES)
+    called = calling.call_alleles(rows.withColumn("qs", qs), fx.SAMPLES)
     calls = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", c["gt"], c["gq"].cast("string"))), " ")
     return called.select(*fx.KEY, F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"), F.round("qual", 3).alias("qual"), calls.alias("calls"))
+
+
+@query()
+def call_trios(spark, sf_dir):
+    """The same sites with samples 2, 0 and 1 called together as child, father and mother."""
+    rows = calls_with_lists(fx.variants(spark, sf_dir)).withColumn("qs", F.expr(f"transform(sequence(0, size(alts)), i -> {_QS.format(i='i')})"))
+    called = calling.call_alleles(rows, fx.SAMPLES, trios=[(2, 0, 1)])
+    calls = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", c["gt"], c["gq"].cast("string"))), " ")
+    return called.select(*fx.KEY, F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"), calls.alias("calls"))

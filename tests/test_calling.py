@@ -81,3 +81,40 @@ def test_nothing_to_call(spark):
     assert got[1][0] == [0] and got[2] == ([0], True, ["./.", "./."]) and got[4] == ([0], True, [])
     assert got[3][0] in ([0], [0, 1]) and got[5] == ([0, 1], False, ["1/1", "./."])
     assert calling.call_alleles(spark.createDataFrame([], SCHEMA), 2).count() == 0
+
+
+def test_trios_equal_loops(spark):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(60):
+        n = rnd.choice([2, 2, 3])
+        one = lambda n=n: rnd.choice([[rnd.randint(0, 60) for _ in range(n * (n + 1) // 2)], [rnd.randint(0, 20) for _ in range(n * (n + 1) // 2)], None if rnd.random() < 0.1 else [9] * (n * (n + 1) // 2)])
+        rows.append((k, [f"A{i}" for i in range(n - 1)], [0.6, *(rnd.choice([0.3, 1.0]) for _ in range(n - 1))], [(one(),) for _ in range(4)]))
+    df = spark.createDataFrame(rows, SCHEMA)
+    single = {r.k: r for r in calling.call_alleles(df, 4).collect()}
+    joint = {r.k: r for r in calling.call_alleles(df, 4, trios=[(3, 0, 2)], novel=1e-3).collect()}
+    changed = 0
+    for k, _, qs, calls in rows:
+        kept, best = joint[k].kept, set(joint[k].best)
+        assert (kept, joint[k].calls[1]) == (single[k].kept, single[k].calls[1])
+        pairs = [(i, j) for j in range(len(kept)) for i in range(j + 1)]
+        at = lambda i, j: j * (j + 1) // 2 + i
+        w = {}
+        for s in (3, 0, 2):
+            p = calls[s][0] and [10 ** (-x / 10) for x in calls[s][0]]
+            w[s] = p and {(i, j): p[at(kept[i], kept[j])] / sum(p) * qs[kept[i]] * qs[kept[j]] * (1 if i == j else 2) if {kept[i], kept[j]} <= best else 0 for i, j in pairs}
+        if len(kept) == 1 or None in w.values():
+            assert joint[k].calls == single[k].calls
+            continue
+        value = {}
+        for f, m, c in itertools.product(pairs, repeat=3):
+            inherited = sum(tuple(sorted((x, y))) == c for x in f for y in m) / 4
+            value[f, m, c] = w[0][f] * w[2][m] * w[3][c] * (1e-3 + (1 - 1e-3) * inherited)
+        top = max(value.values())
+        got = tuple(tuple(map(int, joint[k].calls[s].gt.split("/"))) for s in (0, 2, 3))
+        assert value[got] > top * (1 - 1e-9)
+        for who, s in enumerate((0, 2, 3)):
+            share = sum(v for g, v in value.items() if g[who] == got[who]) / sum(value.values())
+            assert abs(joint[k].calls[s].gq - (127 if share >= 1 else math.floor(min(127, calling.PHRED * math.log(1 - share))))) <= 1
+        changed += [joint[k].calls[s].gt for s in (0, 2, 3)] != [single[k].calls[s].gt for s in (0, 2, 3)]
+    assert changed > 3
