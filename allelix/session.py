@@ -13,13 +13,15 @@ PACKAGE = os.path.dirname(os.path.abspath(__file__))
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a folder inside the warehouse is set.
+    Only where that is unset (local tests) a folder inside the warehouse is set; on a cluster that is an error.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/allelix-checkpoints")
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
