@@ -188,6 +188,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdicts of all ``documents``; cases as in ``quality_rules``."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
