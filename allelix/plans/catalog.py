@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from allelix.plans import annotations, biases, calls, consequences, core, merges, models, pileups, streams, views  # noqa: F401  (they register their queries)
+from allelix.plans import annotations, biases, calls, consequences, core, ligations, merges, models, pileups, streams, views  # noqa: F401  (they register their queries)
 from allelix.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "region_overlap_semi"
