@@ -167,8 +167,9 @@ def regions_merged(spark, sf_dir):
 @query(f"{AB} SELECT 'and' AS op, count(*) AS n FROM (SELECT chrom, pos FROM a INTERSECT SELECT chrom, pos FROM b) UNION ALL SELECT 'or', count(*) FROM (SELECT chrom, pos FROM a UNION SELECT chrom, pos FROM b) UNION ALL SELECT 'not', count(*) FROM (SELECT chrom, pos FROM a EXCEPT SELECT chrom, pos FROM b)")
 def position_sets(spark, sf_dir):
     both = sets.presence([fx.set_a(spark, sf_dir), fx.set_b(spark, sf_dir)], ["chrom", "pos"])
-    kinds = F.array(F.when(F.col("mask") == 3, "and"), F.lit("or"), F.when(F.col("mask") == 1, "not"))
-    return both.select(F.explode(F.array_compact(kinds)).alias("op")).groupBy("op").agg(F.count("*").alias("n"))
+    # counted without a key: an operation that leaves no position has a row too
+    counts = both.agg(F.count_if(F.col("mask") == 3).alias("and"), F.count("*").alias("or"), F.count_if(F.col("mask") == 1).alias("not"))
+    return counts.unpivot([], ["and", "or", "not"], "op", "n")
 
 
 @query(f"{S} SELECT chrom, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM sites GROUP BY chrom")
