@@ -86,8 +86,9 @@ def _compare_elements(op: str, x: Column, y: Column, text: bool) -> Column:
 
 def _any_pair(op: str, a: Column, b: Column, text: bool) -> Column:
     """An empty list counts as one missing value."""
-    a, b = (F.when(F.size(v) > 0, v).otherwise(F.array(F.lit(None).cast("string" if text else "double"))) for v in (a, b))
-    return F.exists(a, lambda x: F.exists(b, lambda y: _compare_elements(op, x, y, text)))
+    some = lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(F.lit(None).cast("string" if text else "double")))
+    meet = lambda a, b: F.exists(some(a), lambda x: F.exists(b, lambda y: _compare_elements(op, x, y, text)))
+    return V.let(b, lambda right: V.let(some(right), lambda held: V.let(a, lambda left: meet(left, held))))
 
 
 _GT_TESTS = {
@@ -120,7 +121,10 @@ def genotype_test(wanted: str):
 
 def _reduce(name: str, a: Column) -> Column:
     """One number of a list without its missing values; missing if nothing is left."""
-    a = F.filter(a, lambda x: x.isNotNull())
+    return V.let(F.filter(a, lambda x: x.isNotNull()), lambda known: _reduced(name, known))
+
+
+def _reduced(name: str, a: Column) -> Column:
     total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     n = F.size(a)
     ordered = F.array_sort(a)
@@ -321,7 +325,7 @@ class _Parser:
         n_calls = F.size(s.calls).cast("double")
         counts = lambda: F.transform(V.allele_counts(F.col(s.calls), F.size(s.alts)), lambda x: x.cast("double"))
         number = lambda: V.allele_number(F.col(s.calls)).cast("double")
-        rest = lambda: F.array(number() - F.aggregate(counts(), F.lit(0.0), lambda t, x: t + x))
+        rest = lambda of: F.array(number() - F.aggregate(of, F.lit(0.0), lambda t, x: t + x))
         made = {
             "N_ALT": lambda: F.array(F.size(s.alts).cast("double")),
             "N_SAMPLES": lambda: F.array(n_calls),
@@ -330,8 +334,8 @@ class _Parser:
             "F_MISSING": lambda: F.array(F.when(n_calls > 0, F.size(F.filter(genotypes(), lambda g: g.contains("."))) / n_calls)),
             "AC": counts,
             "AN": lambda: F.array(number()),
-            "AF": lambda: F.transform(counts(), lambda x: F.when(number() > 0, x / number())),
-            "MAC": lambda: F.array(F.array_min(F.concat(counts(), rest()))),
+            "AF": lambda: V.let(number(), lambda n: F.transform(counts(), lambda x: F.when(n > 0, x / n))),
+            "MAC": lambda: F.array(V.let(counts(), lambda of: F.array_min(F.concat(of, rest(of))))),
         }.get(name)
         return Value(made(), False, False) if made else None
 
@@ -480,9 +484,9 @@ class _Parser:
                 return Value(one(first.column), False, False)
 
             def named(a: Column, call: Column) -> Column:
-                gt = V.gt_alleles(call["gt"])
-                x, y = F.get(a, F.get(gt, F.lit(0))), F.get(a, F.get(gt, F.lit(1)))
-                return F.when(x.isNotNull() & y.isNotNull(), of(x, y)).otherwise(one(a))
+                pair = lambda gt: F.struct(F.get(a, F.get(gt, F.lit(0))).alias("x"), F.get(a, F.get(gt, F.lit(1))).alias("y"))
+                drawn = lambda p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), of(p["x"], p["y"])).otherwise(one(a))
+                return V.let(V.let(V.gt_alleles(call["gt"]), pair), drawn)
 
             return Value(F.zip_with(first.column, F.col(self.schema.calls), named), True, False)
         if first.per_sample != second.per_sample:

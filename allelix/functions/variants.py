@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 PURINES, PYRIMIDINES = ("A", "G"), ("C", "T")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, for which ``value`` is worked out once, however often ``use`` names it and inside what loops."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def allele_type(ref: Column, alt: Column) -> Column:
     """ref, symbolic, overlap, snp, mnp or indel; other when lengths differ and neither allele starts the other."""
     same = F.length(ref) == F.length(alt)
@@ -31,7 +36,8 @@ def is_transition(ref: Column, alt: Column) -> Column:
 
 def gt_alleles(gt: Column) -> Column:
     """Allele numbers of a genotype, null where missing."""
-    return F.transform(F.split(gt, "[/|]"), lambda a: F.when(a != ".", a.cast("int")))
+    # a separator of one character is no pattern that is compiled for each row
+    return F.transform(F.split(F.replace(gt, F.lit("|"), F.lit("/")), "/"), lambda a: F.when(a != ".", a.cast("int")))
 
 
 #: The usual spellings of a genotype's class, which need no look at the alleles.
@@ -40,15 +46,18 @@ USUAL_CLASSES = {"hom_ref": ("0/0", "0|0"), "het": ("0/1", "0|1", "1|0", "1/0"),
 
 def gt_class(gt: Column) -> Column:
     """mis, hap, hom_ref, hom_alt, het or het_alt; usual spellings are looked up, others are taken apart."""
-    a = gt_alleles(gt)
-    first, second = F.get(a, F.lit(0)), F.get(a, F.lit(1))
+
+    def unusual(a: Column) -> Column:
+        first, second = F.get(a, F.lit(0)), F.get(a, F.lit(1))
+        return (
+            F.when(F.exists(a, lambda x: x.isNull()), "mis").when(F.size(a) == 1, "hap").when((first == second) & (first == 0), "hom_ref")
+            .when(first == second, "hom_alt").when((first == 0) | (second == 0), "het").otherwise("het_alt")
+        )
+
     out = None
     for name, spellings in USUAL_CLASSES.items():
         out = F.when(gt.isin(*spellings), name) if out is None else out.when(gt.isin(*spellings), name)
-    return (
-        out.when(F.exists(a, lambda x: x.isNull()), "mis").when(F.size(a) == 1, "hap").when((first == second) & (first == 0), "hom_ref")
-        .when(first == second, "hom_alt").when((first == 0) | (second == 0), "het").otherwise("het_alt")
-    )
+    return out.otherwise(let(gt_alleles(gt), unusual))
 
 
 def is_phased(gt: Column) -> Column:
@@ -64,8 +73,8 @@ def dosage(gt: Column) -> Column:
 
 def allele_counts(calls: Column, n_alt: Column) -> Column:
     """AC of each ALT over an array of calls with a field gt."""
-    every = F.flatten(F.transform(calls, lambda c: gt_alleles(c["gt"])))
-    return F.when(n_alt > 0, F.transform(F.sequence(F.lit(1), n_alt), lambda k: F.size(F.filter(every, lambda x: x == k)))).otherwise(F.array().cast("array<int>"))
+    counts = lambda every: F.transform(F.sequence(F.lit(1), n_alt), lambda k: F.size(F.filter(every, lambda x: x == k)))
+    return F.when(n_alt > 0, let(F.flatten(F.transform(calls, lambda c: gt_alleles(c["gt"]))), counts)).otherwise(F.array().cast("array<int>"))
 
 
 def allele_number(calls: Column) -> Column:
@@ -120,9 +129,12 @@ def phred(p: Column) -> Column:
 
 def binomial_two_sided(k: Column, n: Column) -> Column:
     """Two-sided probability of k or a rarer count in n fair draws: min(1, twice the smaller tail); 0 without draws."""
-    low = F.least(k, n - k)
-    term = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(low, F.lit(0))), F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("c")),
-        lambda s, i: F.struct((s["sum"] + s["c"]).alias("sum"), (s["c"] * (n - i) / (i + 1)).alias("c")), lambda s: s["sum"],
-    )
-    return F.when(n <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2 * term / F.pow(F.lit(2.0), n)))
+
+    def drawn(d: Column) -> Column:
+        k, n = d["k"], d["n"]
+        low = F.least(k, n - k)
+        # the tail from its far end: 1 + n / 1 * (1 + (n - 1) / 2 * (1 + ...))
+        term = F.aggregate(F.when(low > 0, F.sequence(low, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda s, i: s * (n - i + 1) / i + 1.0)
+        return F.when(n <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2 * term / F.pow(F.lit(2.0), n)))
+
+    return let(F.struct(k.alias("k"), n.alias("n")), drawn)

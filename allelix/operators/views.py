@@ -19,7 +19,8 @@ def without_unused_alts(variants: DataFrame, numbers: dict[str, str] | None = No
 
     Fields of calls in ``numbers`` keep their elements for the alleles that stay: one for each ALT (``A``), allele (``R``) or genotype (``G``).
     """
-    used = F.filter(F.sequence(F.lit(1), F.greatest(F.size("alts"), F.lit(1))), lambda k: F.exists("calls", lambda c: F.array_contains(V.gt_alleles(c["gt"]), k)))
+    every = F.array_distinct(F.flatten(F.transform("calls", lambda c: V.gt_alleles(c["gt"]))))
+    used = V.let(every, lambda held: F.filter(F.sequence(F.lit(1), F.greatest(F.size("alts"), F.lit(1))), lambda k: F.exists(held, lambda x: x == k)))
     rows = variants.withColumn("_used", F.when(F.size("alts") > 0, used).otherwise(F.array().cast("array<int>")))
 
     def numbered(gt: Column) -> Column:
@@ -59,13 +60,17 @@ def is_uncalled(calls: Column) -> Column:
 
 def count_of(calls: Column, n_alt: Column, mode: str = "nref") -> Column:
     """Alleles counted by mode: all ALTs (nref), the first (alt1), the rarest allele (minor), the commonest (major), all but that (nonmajor)."""
-    counts, total = V.allele_counts(calls, n_alt), V.allele_number(calls)
-    alts = F.aggregate(counts, F.lit(0), lambda s, x: s + x)
-    every = F.concat(F.array(total - alts), counts)
-    return {
-        "nref": alts, "alt1": F.coalesce(F.get(counts, F.lit(0)), F.lit(0)), "minor": F.least(total - alts, alts),
-        "major": F.array_max(every), "nonmajor": total - F.array_max(every),
-    }[mode]
+
+    def counted(c: Column) -> Column:
+        counts, total = c["counts"], c["total"]
+        alts = F.aggregate(counts, F.lit(0), lambda s, x: s + x)
+        every = lambda n: F.concat(F.array(total - n), counts)
+        return {
+            "nref": lambda: alts, "alt1": lambda: F.coalesce(F.get(counts, F.lit(0)), F.lit(0)), "minor": lambda: V.let(alts, lambda n: F.least(total - n, n)),
+            "major": lambda: V.let(alts, lambda n: F.array_max(every(n))), "nonmajor": lambda: total - V.let(alts, lambda n: F.array_max(every(n))),
+        }[mode]()
+
+    return V.let(F.struct(V.allele_counts(calls, n_alt).alias("counts"), V.allele_number(calls).alias("total")), counted)
 
 
 def hardy_weinberg(calls: DataFrame, keys: list[str]) -> DataFrame:

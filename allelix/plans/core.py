@@ -89,7 +89,7 @@ def _filtered(text):
     def run(spark, sf_dir):
         rows = fx.variants(spark, sf_dir).withColumns({"flag": F.col("pos") % 3 == 0, "tag": F.when(F.col("pos") % 5 > 0, F.concat(F.lit("t"), (F.col("pos") % 5).cast("string")))})
         if "AD" in text:
-            rows = rows.withColumn("calls", F.transform("calls", lambda c: c.withField("ad", F.array(c["dp"] - F.floor(c["dp"] / 3), F.floor(c["dp"] / 3)))))
+            rows = fx.once(rows.withColumn("calls", F.transform("calls", lambda c: c.withField("ad", F.array(c["dp"] - F.floor(c["dp"] / 3), F.floor(c["dp"] / 3))))))
         return rows.where(X.compile_filter(text, SCHEMA).site).select("chrom", "pos", *fx.KEY)
 
     return run

@@ -63,6 +63,11 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in SITE_COLUMNS.items()))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """``rows``, whose columns are worked out once each: a filter is not pushed below them, where it would work them out again for each name in it."""
+    return rows.select(F.inline(F.array(F.struct("*"))))
+
+
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long form: a row for each record and sample."""
     rows = sites(spark, sf_dir).withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
@@ -72,7 +77,7 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide form: alts as an array, and calls as an array of structs in sample order."""
     calls = f"transform(sequence(0, {SAMPLES - 1}), sample_id -> struct(sample_id, {GT} AS gt, {DP} AS dp))"
-    return sites(spark, sf_dir).withColumn("alts", F.expr("CASE WHEN alt = '.' THEN CAST(array() AS array<string>) ELSE split(alt, ',') END")).withColumn("calls", F.expr(calls))
+    return once(sites(spark, sf_dir).withColumn("alts", F.expr("CASE WHEN alt = '.' THEN CAST(array() AS array<string>) ELSE split(alt, ',') END")).withColumn("calls", F.expr(calls)))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Small inputs on which queries differed from their SQL, or worked a column out more than once."""
 
+import math
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from allelix.functions import variants as V
 from allelix.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +30,19 @@ def test_position_sets_has_a_row_for_each_operation(spark, lines):
     want = con.sql(catalog.oracle_sql()["position_sets"]).fetchall()
     got = [tuple(r) for r in catalog.queries()["position_sets"](spark, folder).collect()]
     assert sorted(got) == sorted(want) and ("not", 0) in got
+
+
+def test_filters_work_calls_out_once(spark):
+    """A filter that is pushed below the calls names them again and again, each time worked out anew."""
+    for name in ("filter_expr_mac", "filter_expr_binomial", "view_major_af"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sequence(0, 3") <= 1, name
+
+
+def test_let_names_a_value_once(spark):
+    """Counts and tails name their input once."""
+    rows = spark.createDataFrame([(7, 20, ["0/1", "1|2", "./."])], "k int, n int, g array<string>").withColumn("calls", F.transform("g", lambda g: F.struct(g.alias("gt"))))
+    text = str(V.allele_counts(F.col("calls"), F.lit(2))) + str(V.binomial_two_sided(F.col("k") + 0, F.col("n")))
+    assert text.count("calls") == 1 and text.count("k +") + text.count("+(k") <= 1
+    got = rows.select(V.allele_counts(F.col("calls"), F.lit(2)).alias("a"), V.binomial_two_sided(F.col("k"), F.col("n")).alias("p"), V.binomial_two_sided(F.lit(0), F.col("n")).alias("q")).first()
+    assert got.a == [2, 1] and got.p == pytest.approx(2 * sum(math.comb(20, j) for j in range(8)) / 2**20) and got.q == pytest.approx(2 / 2**20)
