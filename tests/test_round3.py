@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
+from allelix.operators import intervals
 from allelix.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,12 @@ def test_let_names_a_value_once(spark):
     assert text.count("calls") == 1 and text.count("k +") + text.count("+(k") <= 1
     got = rows.select(V.allele_counts(F.col("calls"), F.lit(2)).alias("a"), V.binomial_two_sided(F.col("k"), F.col("n")).alias("p"), V.binomial_two_sided(F.lit(0), F.col("n")).alias("q")).first()
     assert got.a == [2, 1] and got.p == pytest.approx(2 * sum(math.comb(20, j) for j in range(8)) / 2**20) and got.q == pytest.approx(2 / 2**20)
+
+
+def test_intervals_of_one_level_meet_in_one_join(spark):
+    """Rows of a side are not copied to levels that the other one doesn't have."""
+    left = spark.createDataFrame([("a", p, p + 1) for p in (5, 1023, 1024)], "chrom string, b int, e int")
+    right = spark.createDataFrame([("a", 1000, 1100)], "chrom string, beg int, end_ int")
+    met = intervals.overlapping(left, right, ("b", "e"), ("beg", "end_"))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and sorted(r.b for r in met.collect()) == [1023, 1024]
