@@ -1,13 +1,14 @@
 """Small inputs on which queries differed from their SQL, or worked a column out more than once."""
 
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
-from allelix.operators import intervals
+from allelix.operators import intervals, merge
 from allelix.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,17 @@ def test_intervals_of_one_level_meet_in_one_join(spark):
     met = intervals.overlapping(left, right, ("b", "e"), ("beg", "end_"))
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and sorted(r.b for r in met.collect()) == [1023, 1024]
+
+
+def test_rounds_by_id_equal_round_after_round():
+    """One pass over a position with many records, against rounds taken one by one."""
+    rnd = random.Random(5)
+    for n in (1, 2, 7, 60):
+        todo = sorted((rnd.randrange(3), rnd.choice(["rs1", "rs2", "."])) for _ in range(n))
+        left, numbers, k = list(range(n)), [0] * n, 0
+        while left:
+            chosen = {left[i] for i in merge.next_round("id", [(todo[j][0], 1, "A", [], todo[j][1], None) for j in left])}
+            for i in chosen:
+                numbers[i] = k
+            left, k = [i for i in left if i not in chosen], k + 1
+        assert merge.rounds_by_id(todo) == numbers
