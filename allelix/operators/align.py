@@ -9,12 +9,15 @@ of the longest repeat, and the bases that are read with its length.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
 from allelix.operators.reference import with_bases
-from allelix.session import cut
+from allelix.session import cut, once
 
 #: Bases before a record that the first round looks at, and how much longer the window is in each round after it.
 WINDOW, GROWTH, WIDEST = 256, 8, 1 << 20
@@ -34,7 +37,9 @@ def _moved(rows: DataFrame, bits: int) -> DataFrame:
     """One round: ``_alleles`` (REF first) at ``_at``, moved inside the known bases ``_before``; ``_open`` if they may go further."""
     told = F.transform("_alleles", lambda a: F.concat(F.col("_before"), a))
     rows = rows.withColumn("_t", told).withColumn("_least", F.array_min(F.transform("_alleles", F.length)))
-    alike = lambda n: F.forall("_t", lambda t: _right(t, n) == _right(F.get("_t", F.lit(0)), n))
+    # endings are compared as bytes, of which none before the ending is looked at
+    rows = rows.withColumn("_raw", F.transform("_t", lambda t: t.cast("binary")))
+    alike = lambda n: F.forall("_raw", lambda t: _right(t, n) == _right(F.get("_raw", F.lit(0)), n))
     width = F.length("_before")
     rows = rows.withColumn("_k", _longest(alike, width + F.col("_least") - 1, bits))
     by = F.greatest(F.col("_k") - F.col("_least") + 1, F.lit(0))
@@ -42,34 +47,35 @@ def _moved(rows: DataFrame, bits: int) -> DataFrame:
     rows = rows.withColumn("_at", (F.col("_at") - F.col("_by")).cast("int"))
     ends = F.transform("_alleles", lambda a: _right(a, F.lit(1)))
     alone = F.array_min(F.transform("_alleles", F.length)) == 1
-    return rows.withColumn("_open", alone & (F.col("_at") > 1) & (F.size(F.array_distinct(ends)) == 1)).drop("_t", "_least", "_k", "_by", "_before")
+    return rows.withColumn("_open", alone & (F.col("_at") > 1) & (F.size(F.array_distinct(ends)) == 1)).drop("_t", "_raw", "_least", "_k", "_by", "_before")
 
 
 def left_align(records: DataFrame, reference: DataFrame, key: list[str], window: int = WINDOW) -> DataFrame:
     """``records`` with pos, ref and alts (or alt, joined by commas) at the leftmost of their equal places, and shared ends taken off.
 
-    ``reference`` has chrom, first and bases (see ``reference``); ``key`` tells records apart. All alleles of a record move together. Records
+    ``reference`` has chrom, first and bases (see ``reference``). All alleles of a record move together. Records of equal place and alleles
+    are worked out once, and the bases before a place are fetched once, however many records it has; so ``key``, the columns
+    that tell records apart, plays no part in it. Records
     with a symbol, a star or no ALT, an empty allele, an ALT equal to REF, or a null stay as they are; nothing moves over an N
     of the reference or a base that it doesn't have. Alleles come back in upper case.
     """
-    alts = F.col("alts") if "alts" in records.columns else F.split("alt", ",")
-    rows = records.withColumn("_alleles", F.transform(F.concat(F.array("ref"), alts), F.upper)).withColumn("_at", F.col("pos").cast("int"))
+    records = once(records)
+    own = ["chrom", "pos", "ref", "alts" if "alts" in records.columns else "alt"]
+    named = {c: f"_key_{i}" for i, c in enumerate(own)}
+    alts = F.col(named["alts"]) if "alts" in named else F.split(named["alt"], ",")
+    rows = records.select(*(F.col(c).alias(n) for c, n in named.items())).distinct()
+    rows = rows.select("*", F.col(named["chrom"]).alias("chrom"), F.col(named["pos"]).cast("int").alias("_at"), F.transform(F.concat(F.array(named["ref"]), alts), F.upper).alias("_alleles"))
     sound = F.forall("_alleles", lambda a: a.rlike("^[ACGTN]+$")) & (F.size("_alleles") > 1) & F.forall(F.slice("_alleles", 2, F.size("_alleles")), lambda a: a != F.get("_alleles", F.lit(0)))
-    rows = rows.withColumn("_sound", F.coalesce(sound & F.col("pos").isNotNull() & F.col("chrom").isNotNull(), F.lit(False)))
-    narrow = rows.where("_sound").select(*key, "chrom", "_at", "_alleles")
+    narrow = rows.where(sound & F.col("_at").isNotNull() & F.col("chrom").isNotNull())
     # stored before it is filtered: a filter that is pushed below a round would work the round out again for each name in it
     now = cut(_moved(narrow.withColumn("_before", F.lit("")), 24))
     done, active = now.where("NOT _open").drop("_open"), now.where("_open").drop("_open")
     while active.count():
-        asked = active.select(*key, "chrom", F.greatest(F.col("_at") - window, F.lit(1)).alias("beg"), (F.col("_at") - 1).alias("end_"))
-        known = with_bases(asked, reference, key, "_before").withColumn("_before", F.substring_index("_before", "N", -1))
-        names = {c: f"_key_{i}" for i, c in enumerate(key)}
-        same = None
-        for c, n in names.items():
-            known = known.withColumnRenamed(c, n)
-            one = F.col(c).eqNullSafe(F.col(n))
-            same = one if same is None else same & one
-        now = cut(_moved(active.join(known, same).drop(*names.values()).withColumn("_was", F.col("_at")), max(24, window.bit_length() + 1)))
+        asked = active.select(F.col("chrom").alias("_c"), F.col("_at").alias("_p")).distinct()
+        asked = asked.withColumns({"chrom": F.col("_c"), "beg": F.greatest(F.col("_p") - window, F.lit(1)), "end_": F.col("_p") - 1})
+        known = with_bases(asked, reference, ["_c", "_p"], "_before").withColumn("_before", F.substring_index("_before", "N", -1))
+        met = active.join(known, (F.col("chrom") == F.col("_c")) & (F.col("_at") == F.col("_p"))).drop("_c", "_p")
+        now = cut(_moved(met.withColumn("_was", F.col("_at")), max(24, window.bit_length() + 1)))
         # where an N or the end of the reference stands before a record it goes no further
         further = F.col("_open") & (F.col("_at") < F.col("_was"))
         done = done.unionByName(now.where(~further).drop("_open", "_was"))
@@ -79,11 +85,8 @@ def left_align(records: DataFrame, reference: DataFrame, key: list[str], window:
     least = F.array_min(F.transform("_alleles", F.length)) - 1
     begins = lambda n: F.forall("_alleles", lambda a: F.substr(a, F.lit(1), n) == F.substr(F.get("_alleles", F.lit(0)), F.lit(1), n))
     done = done.withColumn("_head", _longest(begins, least, 24))
-    placed = done.select(*(F.col(c).alias(f"_key_{i}") for i, c in enumerate(key)), (F.col("_at") + F.col("_head")).cast("int").alias("_pos"), F.transform("_alleles", lambda a: F.substr(a, F.col("_head") + 1, F.length(a))).alias("_new"))
-    same = None
-    for i, c in enumerate(key):
-        one = F.col(c).eqNullSafe(F.col(f"_key_{i}"))
-        same = one if same is None else same & one
+    placed = done.select(*named.values(), (F.col("_at") + F.col("_head")).cast("int").alias("_pos"), F.transform("_alleles", lambda a: F.substr(a, F.col("_head") + 1, F.length(a))).alias("_new"))
+    same = reduce(and_, (F.col(c) == F.col(n) for c, n in named.items()))
     joined = records.join(placed, same, "left")
     others = F.slice("_new", 2, F.size("_new"))
     out = {"pos": F.coalesce("_pos", F.col("pos")), "ref": F.coalesce(F.get("_new", F.lit(0)), F.col("ref"))}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
-from allelix.operators import intervals, merge
+from allelix.operators import align, intervals, merge
 from allelix.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +71,15 @@ def test_rounds_by_id_equal_round_after_round():
                 numbers[i] = k
             left, k = [i for i in left if i not in chosen], k + 1
         assert merge.rounds_by_id(todo) == numbers
+
+
+def test_equal_records_are_left_aligned_once(spark, monkeypatch):
+    """Rounds and the bases before a place grow with different records, not with how often each comes."""
+    asked, moved, fetch = [], align._moved, align.with_bases
+    monkeypatch.setattr(align, "_moved", lambda rows, bits: asked.append(("moved", rows.count())) or moved(rows, bits))
+    monkeypatch.setattr(align, "with_bases", lambda rows, *more: asked.append(("bases", rows.count())) or fetch(rows, *more))
+    bases = spark.createDataFrame([("c", 1, "G" + "A" * 2999)], "chrom string, first int, bases string")
+    copies = spark.range(300).select(F.lit("c").alias("chrom"), F.lit(2900).alias("pos"), F.lit("a").alias("ref"), F.when(F.col("id") % 2 == 0, "AA").otherwise("Aaa").alias("alt"), "id")
+    got = {(r.pos, r.ref, r.alt, r.id) for r in align.left_align(copies, bases, ["id"]).collect()}
+    assert got == {(1, "G", "GA" if i % 2 == 0 else "GAA", i) for i in range(300)}
+    assert all(n <= 2 for _, n in asked)
