@@ -13,9 +13,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
@@ -53,11 +54,16 @@ def intersect(files: list[DataFrame], key: list[str], mode: str = "none", wanted
     are no dot. Letter case doesn't count. A record without keys has mask 0.
     """
     rows = reduce(DataFrame.unionByName, (df.withColumn("file", F.lit(i)) for i, df in enumerate(files)))
-    keyed = rows.select("file", *key, "chrom", "pos", F.explode(site_keys(mode)).alias("_key"))
-    held = keyed.groupBy("chrom", "pos", "_key").agg(F.bit_or(F.expr("shiftleft(1L, file)")).alias("_bits"))
-    masks = keyed.join(held, ["chrom", "pos", "_key"]).groupBy("file", *key).agg(F.bit_or("_bits").alias("_bits"))
+    # what records of equal alleles and identifier match is worked out once; alleles are told apart as they are written
+    own = ["chrom", "pos", *(("id",) if mode == "id" else () if mode == "all" else ("ref", "alt"))]
+    named = {c: f"_own_{i}" for i, c in enumerate(own)}
+    alike = rows.groupBy(*own).agg(F.bit_or(F.expr("shiftleft(1L, file)")).alias("_files"))
+    keyed = alike.select(*own, "_files", F.explode(site_keys(mode)).alias("_key"))
+    held = keyed.groupBy("chrom", "pos", "_key").agg(F.bit_or("_files").alias("_bits"))
+    masks = keyed.drop("_files").join(held, ["chrom", "pos", "_key"]).groupBy(*(F.col(c).alias(n) for c, n in named.items())).agg(F.bit_or("_bits").alias("_bits"))
     mask = F.coalesce("_bits", F.lit(0).cast("long"))
-    marked = rows.join(masks, ["file", *key], "left").withColumn("mask", mask).drop("_bits")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()))
+    marked = rows.join(masks, same, "left").withColumn("mask", mask).drop("_bits", *named.values())
     text = F.concat(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, "1").otherwise("0") for i in range(len(files))))
     marked = marked.withColumn("present", text)
     return marked.where(matches(F.col("mask"), wanted, len(files))) if wanted else marked
@@ -66,14 +72,27 @@ def intersect(files: list[DataFrame], key: list[str], mode: str = "none", wanted
 def sites(intersected: DataFrame, key: list[str], mode: str = "none") -> DataFrame:
     """Rows of ``intersect`` without those whose site an earlier file's listed row has: each site once, or once for each record of its first file.
 
-    Rows of a position are gone through by file and ``key``; a listed row is compared with those before it.
+    Rows of a position are gone through by file; one is listed unless a listed row of an earlier file has one of its keys. Rows of equal
+    file and keys share their fate, so only these are gone through, however many rows a position has; ``key`` plays no part in it.
     """
-    row = F.struct("file", *key, site_keys(mode).alias("keys"), F.struct(*(c for c in intersected.columns)).alias("row"))
-    here = intersected.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = f"CAST(array() AS {here.schema['rows'].dataType.simpleString()})"
-    told = lambda s, r: F.exists(s, lambda e: (e["file"] != r["file"]) & F.arrays_overlap(e["keys"], r["keys"]))
-    listed = F.aggregate("rows", F.expr(kind), lambda s, r: F.when(told(s, r), s).otherwise(F.concat(s, F.array(r))))
-    return here.select(F.explode(F.transform(listed, lambda r: r["row"])).alias("r")).select("r.*")
+    if mode in ("none", "all", "id"):
+        # with one key at most, what is listed of a key is what its first file has
+        single = intersected.withColumn("_key", F.get(site_keys(mode), F.lit(0)))
+        first = F.min("file").over(Window.partitionBy("chrom", "pos", "_key"))
+        return single.withColumn("_first", first).where("_key IS NULL OR file = _first").select(*intersected.columns)
+    shown = intersected.withColumn("_keys", F.coalesce(F.array_sort(site_keys(mode)), F.array().cast("array<string>")))
+    kinds = shown.select("chrom", "pos", "file", "_keys").distinct()
+    here = kinds.groupBy("chrom", "pos", "file").agg(F.collect_list("_keys").alias("sets")).groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("file", "sets"))).alias("files"))
+    none = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<struct<file:int,keys:array<string>>>").alias("listed"))
+    told = lambda s, k: F.coalesce(F.arrays_overlap(s["keys"], k), F.lit(False))
+
+    def add(s: Column, f: Column) -> Column:
+        fresh = F.filter(f["sets"], lambda k: ~told(s, k))
+        return F.struct(F.array_union(s["keys"], F.flatten(fresh)).alias("keys"), F.concat(s["listed"], F.transform(fresh, lambda k: F.struct(f["file"].alias("file"), k.alias("keys")))).alias("listed"))
+
+    listed = here.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.explode(F.aggregate("files", none, add, lambda s: s["listed"])).alias("_l"))
+    same = [F.col("chrom").eqNullSafe(F.col("_c")), F.col("pos").eqNullSafe(F.col("_p")), F.col("file") == F.col("_l.file"), F.col("_keys").eqNullSafe(F.col("_l.keys"))]
+    return shown.join(listed, reduce(and_, same), "left_semi").select(*intersected.columns)
 
 
 def kinds_of(mode: str) -> Column:

@@ -83,3 +83,16 @@ def test_equal_records_are_left_aligned_once(spark, monkeypatch):
     got = {(r.pos, r.ref, r.alt, r.id) for r in align.left_align(copies, bases, ["id"]).collect()}
     assert got == {(1, "G", "GA" if i % 2 == 0 else "GAA", i) for i in range(300)}
     assert all(n <= 2 for _, n in asked)
+
+
+@pytest.mark.parametrize("mode", ["none", "both"])
+def test_sites_go_through_kinds_of_records(spark, mode):
+    """Records are neither grouped by their keys to be marked nor brought into one list for each position."""
+    row = lambda i: (i, "c", 7, ".", "A", ("C", "G", "AT", "C,AT")[i % 4])
+    files = [spark.createDataFrame([row(i) for i in range(n)], "k int, chrom string, pos int, id string, ref string, alt string") for n in (1, 400, 400)]
+    found = merge.intersect(files, ["k"], mode)
+    plan = merge.sites(found, ["k"], mode)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line.split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert grouped and not any("k#" in line for line in grouped) and "struct(row" not in plan and "row, named_struct" not in plan
+    largest = merge.sites(found, ["k"], mode).groupBy("file").count().collect()
+    assert {r.file: r["count"] for r in largest} == ({0: 1, 1: 300} if mode == "none" else {0: 1, 1: 100})
