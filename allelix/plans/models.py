@@ -44,9 +44,8 @@ def consensus_codes(spark, sf_dir):
 
 @query(f"{R}, c AS (SELECT s.*, EXISTS (SELECT 1 FROM regions r WHERE r.chrom = s.chrom AND s.pos <= r.end_ AND s.pos + length(s.ref) - 1 >= r.beg) AS coding FROM sites s), e AS (SELECT coding, ref, unnest(string_split(alt, ',')) AS a FROM c) SELECT CASE WHEN NOT coding THEN 'intergenic' WHEN a LIKE '<%' THEN 'feature_truncation' WHEN a = '.' THEN 'reference' WHEN (length(a) - length(ref)) % 3 <> 0 THEN 'frameshift' WHEN length(a) > length(ref) THEN 'inframe_insertion' WHEN length(a) < length(ref) THEN 'inframe_deletion' ELSE 'coding_sequence' END AS consequence, count(*) AS n FROM e GROUP BY 1")
 def csq_classes(spark, sf_dir):
-    sites, regions = fx.sites(spark, sf_dir), fx.regions(spark, sf_dir)
-    hits = intervals.overlap(sites, regions).select(*fx.KEY, F.lit(True).alias("coding"))
-    rows = sites.join(hits, fx.KEY, "left").select("ref", F.coalesce("coding", F.lit(False)).alias("coding"), F.explode(F.split("alt", ",")).alias("a"))
+    sites = fx.sites(spark, sf_dir).select("chrom", "pos", "ref", "alt")
+    rows = intervals.marked(sites, fx.regions(spark, sf_dir), "coding").select("ref", "coding", F.explode(F.split("alt", ",")).alias("a"))
     return rows.groupBy(models.consequence(F.col("ref"), F.col("a"), F.col("coding")).alias("consequence")).agg(F.count("*").alias("n"))
 
 

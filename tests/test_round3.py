@@ -96,3 +96,15 @@ def test_sites_go_through_kinds_of_records(spark, mode):
     assert grouped and not any("k#" in line for line in grouped) and "struct(row" not in plan and "row, named_struct" not in plan
     largest = merge.sites(found, ["k"], mode).groupBy("file").count().collect()
     assert {r.file: r["count"] for r in largest} == ({0: 1, 1: 300} if mode == "none" else {0: 1, 1: 100})
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_overlaps_meet_by_places(spark, how):
+    """Merged regions are joined to different places, and records by place: not all records of a bin to one key."""
+    rows = spark.range(200).selectExpr("'c' AS chrom", "CAST(10 + id % 4 * 1000 AS INT) AS pos", "'ACG' AS ref", "'A' AS alt", "map('k', id) AS m", "id")
+    regions = spark.createDataFrame([("c", 1, 12), ("c", 5, 1009), ("c", 3012, 90000)], "chrom string, beg int, end_ int")
+    found = intervals.overlap(rows, regions, how=how, width=64)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert not any("_bin" in line for line in joins[:1]) and "pos" in joins[0] and "_hit_pos" in joins[0]
+    inside = {i for i in range(200) if i % 4 in (0, 3)}
+    assert {r.id for r in found.collect()} == (inside if how == "left_semi" else set(range(200)) - inside)
