@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from allelix.session import stored
+
 BLOCK = 1 << 12
 #: The best quality, and the share of entropy that it is scaled by.
 BEST, SCALE = 99.0, 0.7
@@ -29,7 +31,9 @@ def _zoned(calls: DataFrame) -> DataFrame:
     """``calls`` with ``_link``, the earlier chunk of the overlap that a row lies in, and ``_later``: whether it is of the later one."""
     extents = calls.groupBy("chrom", "chunk").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
     w = Window.partitionBy("chrom").orderBy("chunk")
+    # stored, as are states: of known size, so that calls aren't shuffled to meet a small table
     near = extents.select("chrom", "chunk", F.lead("_first").over(w).alias("_next"), F.lag("_last").over(w).alias("_before"), F.lag("chunk").over(w).alias("_previous"))
+    near = stored(near)
     later = F.coalesce(F.col("pos") <= F.col("_before"), F.lit(False))
     link = F.when(later, F.col("_previous")).when(F.col("pos") >= F.col("_next"), F.col("chunk"))
     return calls.join(near, ["chrom", "chunk"]).withColumns({"_link": link, "_later": later}).drop("_next", "_before")
@@ -76,7 +80,7 @@ def stitched(calls: DataFrame, key: list[str]) -> DataFrame:
     own chunk in the second half and not at all in the first.
     """
     zoned = _zoned(calls)
-    states = _states(zoned, key)
+    states = stored(_states(zoned, key).select("chrom", "chunk", "sample_id", "_previous", "turned"))
     alone = zoned.where("_link IS NULL").join(states.select("chrom", "chunk", "sample_id", "turned"), ["chrom", "chunk", "sample_id"])
     outside = alone.select("chrom", *key, "sample_id", _turned(F.col("gt"), F.col("turned")).alias("gt"), "chunk")
     # the place of each record in its overlap: counts of blocks are summed up, records numbered inside blocks

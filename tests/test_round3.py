@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
-from allelix.operators import align, intervals, merge
+from allelix.operators import align, intervals, ligate, merge
 from allelix.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +108,12 @@ def test_overlaps_meet_by_places(spark, how):
     assert not any("_bin" in line for line in joins[:1]) and "pos" in joins[0] and "_hit_pos" in joins[0]
     inside = {i for i in range(200) if i % 4 in (0, 3)}
     assert {r.id for r in found.collect()} == (inside if how == "left_semi" else set(range(200)) - inside)
+
+
+def test_chunks_and_states_are_joined_from_stored_tables(spark, monkeypatch):
+    """Extents and states are stored once, so that they are small tables of known size where calls meet them."""
+    kept, keep = [], ligate.stored
+    monkeypatch.setattr(ligate, "stored", lambda df: kept.append(df.columns) or keep(df))
+    calls = spark.createDataFrame([("c", k, p, 0, "0|1") for k, p in ((0, 1), (0, 5), (1, 5), (1, 9))], "chrom string, chunk int, pos int, sample_id int, gt string")
+    got = ligate.stitched(calls, ["pos"])
+    assert len(kept) == 2 and sorted((r.pos, r.gt, r.chunk) for r in got.collect()) == [(1, "0|1", 0), (5, "0|1", 0), (9, "0|1", 1)]
