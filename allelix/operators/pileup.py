@@ -1,41 +1,29 @@
 """Pileup of alignments: bases, insertions and deletions of reads by reference position, and the records made of them.
 
 Alignments have sample, qname, flag, chrom, pos (1-based), mapq, cigar, mate_chrom, mate_pos, seq and qual
-(text with an offset of 33). Mates are brought together read by read, in one shuffle of those reads that can
-overlap their mate; from there on everything up to the counts happens where the read is. Counts are aggregated
-before they are shuffled, so that a position of any depth costs one row for each task.
+(text with an offset of 33). Mates are brought together read by read, in one shuffle and one sort of those reads that
+can overlap their mate; from there on everything up to the counts happens on batches of reads as arrays. Tasks add
+counts up in blocks of positions before they are shuffled, so that a position of any depth costs one row for each task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelix.operators import pileup_batches as B
 from allelix.operators import reference as R
+from allelix.session import stored
 
-#: Flags of a proper pair, of an unmapped mate, of the reverse strand, of the first read of a pair;
-#: unmapped, secondary, failed or repeated reads; the quality of bases without one, and bounds of pooled qualities.
-PROPER, MATE_UNMAPPED, REVERSE, FIRST, UNUSED = 0x2, 0x8, 0x10, 0x40, 0x704
-NO_QUALITY, MOST_POOLED, MOST_MAPQ, LEAST_Q, MOST_Q = 30, 200, 60, 4, 63
+#: Flags of a proper pair, of an unmapped mate, of the first read of a pair; unmapped, secondary,
+#: failed or repeated reads; the quality of bases without one.
+PROPER, MATE_UNMAPPED, FIRST, UNUSED, NO_QUALITY = 0x2, 0x8, 0x40, 0x704, 30
 BASES = "ACGT"
-READ = ["sample", "chrom", "pos", "mapq", "flag"]
-
-
-def operations(cigar: Column, pos: Column) -> Column:
-    """Operations of a CIGAR as structs (op, n, read_at, ref_at, after): places of their first base in the read and on the reference.
-
-    Both count from 1. ``after`` is the operation before it, paddings apart. Null for a null CIGAR, empty for ``*``.
-    """
-    each = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
-    begin = F.struct(F.lit(1).alias("read"), pos.cast("int").alias("ref"), F.lit("").alias("after"), F.array().cast("array<struct<op:string,n:int,read_at:int,ref_at:int,after:string>>").alias("all"))
-
-    def add(s: Column, text: Column) -> Column:
-        op, n = F.right(text, F.lit(1)), F.substr(text, F.lit(1), F.length(text) - 1).cast("int")
-        step = lambda ops: F.when(op.isin(*ops), n).otherwise(0)
-        one = F.struct(op.alias("op"), n.alias("n"), s["read"].alias("read_at"), s["ref"].alias("ref_at"), s["after"].alias("after"))
-        return F.struct((s["read"] + step("MIS=X")).alias("read"), (s["ref"] + step("MDN=X")).alias("ref"), F.when(op == "P", s["after"]).otherwise(op).alias("after"), F.concat(s["all"], F.array(one)).alias("all"))
-
-    return F.aggregate(each, begin, add, lambda s: s["all"])
+#: What batches of reads have, and what mates have in common.
+BATCH = ["sample", "chrom", "CAST(pos AS INT) AS pos", "CAST(mapq AS INT) AS mapq", "CAST(flag AS INT) AS flag", "cigar", "seq", "qual"]
+MATES = ["sample", "chrom", "_low", "_high", "qname"]
 
 
 def usable(alignments: DataFrame, min_mapq: int = 0, forbidden: int = UNUSED, required: int = 0) -> DataFrame:
@@ -46,53 +34,31 @@ def usable(alignments: DataFrame, min_mapq: int = 0, forbidden: int = UNUSED, re
     return reads.withColumns({"seq": F.upper("seq"), "qual": F.rpad(known, F.length("seq"), chr(33 + NO_QUALITY))})
 
 
-def _odd_name(name: Column) -> Column:
-    """Whether the hash of a read's name that chooses between mates is odd: 31-fold sums, then six rounds of shifts, in 32 bits."""
-    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
-    key = F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda h, c: low(h * 31 + F.ascii(c)))
-    rounds = [
-        lambda k: low(k + F.bitwise_not(F.shiftleft(k, 15))), lambda k: k.bitwiseXOR(F.shiftright(k, 10)), lambda k: low(k + F.shiftleft(k, 3)),
-        lambda k: k.bitwiseXOR(F.shiftright(k, 6)), lambda k: low(k + F.bitwise_not(F.shiftleft(k, 11))), lambda k: k.bitwiseXOR(F.shiftright(k, 16)),
-    ]
-    held = F.array(key)
-    for turn in rounds:
-        held = F.transform(held, turn)
-    return F.get(held, F.lit(0)).bitwiseAND(F.lit(1)) == 1
-
-
-def with_mates(reads: DataFrame) -> DataFrame:
-    """``reads`` with ``mate`` (pos, ops, seq, qual), null where no mate can overlap, and ``keeps``: whether this one keeps pooled qualities.
+def _mates(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reads that no mate can overlap, and the others: mates in one task, in the order of places, keys, fronts and turns.
 
     Mates are proper pairs on one contig that name each other's positions. Of reads with one name and the same positions, the
     first of those in front go with the first of those behind and so on, in the order of flag, CIGAR, bases and qualities.
+    Reads of one sample, one name and the same positions are held together.
     """
     same = F.col("mate_chrom").isin("=") | (F.col("mate_chrom") == F.col("chrom"))
-    ends = F.aggregate("ops", F.lit(0), lambda s, o: F.when(o["op"].isin(*"MDN=X"), o["ref_at"] + o["n"] - 1).otherwise(s))
-    paired = (F.col("flag").bitwiseAND(PROPER) != 0) & (F.col("flag").bitwiseAND(MATE_UNMAPPED) == 0) & same & (F.col("qname") != "*") & ((F.col("mate_pos") <= F.col("pos")) | (F.col("mate_pos") <= ends))
-    marked = reads.withColumn("_paired", F.coalesce(paired, F.lit(False)))
-    none = "struct<pos:int,ops:array<struct<op:string,n:int,read_at:int,ref_at:int,after:string>>,seq:string,qual:string>"
-    alone = marked.where("NOT _paired").withColumns({"mate": F.lit(None).cast(none), "keeps": F.lit(None).cast("boolean")})
+    covered = F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda s, n: s + n.cast("long"))
+    paired = (F.col("flag").bitwiseAND(PROPER) != 0) & (F.col("flag").bitwiseAND(MATE_UNMAPPED) == 0) & same & (F.col("qname") != "*") & ((F.col("mate_pos") <= F.col("pos")) | (F.col("mate_pos") < F.col("pos") + covered))
+    known = F.coalesce(paired, F.lit(False))
     behind = F.when(F.col("pos") == F.col("mate_pos"), F.col("flag").bitwiseAND(FIRST) == 0).otherwise(F.col("pos") > F.col("mate_pos"))
-    key = ["sample", "chrom", "qname", "_low", "_high"]
-    keyed = marked.where("_paired").withColumns({"_low": F.least("pos", "mate_pos"), "_high": F.greatest("pos", "mate_pos"), "_behind": behind}).repartition(*key)
-    numbered = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy(*key, "_behind").orderBy("flag", "cigar", "seq", "qual")))
-    couple = Window.partitionBy(*key, "_turn").orderBy("_behind")
-    self_ = F.struct(F.col("pos").cast("int").alias("pos"), "ops", "seq", "qual")
-    met = numbered.withColumns({"mate": F.coalesce(F.lead(self_).over(couple), F.lag(self_).over(couple)).cast(none), "keeps": _odd_name(F.col("qname")) != F.col("_behind")})
-    return alone.unionByName(met.drop("_low", "_high", "_behind", "_turn")).drop("_paired")
-
+    keyed = reads.where(known).withColumn("_behind", behind).selectExpr(*BATCH, "qname", "CAST(least(pos, mate_pos) AS INT) AS _low", "CAST(greatest(pos, mate_pos) AS INT) AS _high", "_behind").repartition(*MATES)
+    # one number in front of the key, by which nearly all comparisons of the sort are settled
+    place = F.shiftleft(F.hash("sample", "chrom").cast("long"), 32) + F.col("_low")
+    return reads.where(~known).selectExpr(*BATCH), keyed.withColumn("_place", place).sortWithinPartitions("_place", *MATES, "_behind", "flag", "cigar", "seq", "qual").drop("_place")
 
-def _mate_along(text: str, gap: str, beg: Column, end: Column) -> Column:
-    """The mate's bases (or qualities) at the reference positions from ``beg`` to ``end``, ``gap`` where it has a deletion, a space where nothing."""
-    mate = F.col("mate")
 
-    def part(o: Column) -> Column:
-        low, high = F.greatest(o["ref_at"], beg), F.least(o["ref_at"] + o["n"] - 1, end)
-        n = F.greatest(high - low + 1, F.lit(0))
-        read = F.substr(mate[text], o["read_at"] + F.greatest(low - o["ref_at"], F.lit(0)), n)
-        return F.when(o["op"].isin(*"M=X"), read).when(o["op"] == "D", F.repeat(F.lit(gap), n)).when(o["op"] == "N", F.repeat(F.lit(" "), n)).otherwise("")
-
-    return F.concat(F.repeat(F.lit(" "), F.greatest(mate["pos"] - beg, F.lit(0))), F.array_join(F.transform(mate["ops"], part), ""))
+def _by_batches(reads: DataFrame, overlaps: bool, schema: str, work: Callable) -> DataFrame:
+    """``work`` on batches of reads, with the key of mates where they may overlap."""
+    lone = lambda batches: work(batches, None)
+    if not overlaps:
+        return reads.selectExpr(*BATCH).mapInArrow(lone, schema)
+    alone, met = _mates(reads)
+    return alone.mapInArrow(lone, schema).unionByName(met.mapInArrow(lambda batches: work(batches, MATES), schema))
 
 
 def observations(reads: DataFrame, overlaps: bool = True) -> DataFrame:
@@ -102,32 +68,19 @@ def observations(reads: DataFrame, overlaps: bool = True) -> DataFrame:
     other, of unequal ones the better keeps four fifths, as does a base beside a mate's deletion on the mate that keeps. Deletions,
     skipped stretches and clipped or inserted bases make no row. Rows keep qualities of 0; counts choose by quality.
     """
-    placed = reads.withColumn("ops", operations(F.col("cigar"), F.col("pos")))
-    if overlaps:
-        placed = with_mates(placed)
-    o = F.col("o")
-    clipped = F.exists("ops", lambda x: x["op"] == "S").alias("clipped")
-    runs = placed.select("*", clipped, F.explode("ops").alias("o")).where(o["op"].isin(*"M=X"))
-    cut = lambda c: F.substr(c, o["read_at"], o["n"])
-    last = o["ref_at"] + o["n"] - 1
-    other = {"_mb": _mate_along("seq", "-", o["ref_at"], last), "_mq": _mate_along("qual", "!", o["ref_at"], last), "keeps": F.col("keeps")} if overlaps else {}
-    narrow = runs.select(
-        "sample", "chrom", "mapq", (F.col("flag").bitwiseAND(REVERSE) != 0).alias("reverse"), "clipped", F.length("seq").alias("read_length"), o["ref_at"].alias("_ref"), o["read_at"].alias("_read"),
-        cut("seq").alias("_b"), cut("qual").alias("_q"), *(c.alias(n) for n, c in other.items()),
-    )
-    bases = narrow.where(F.length("_b") > 0).select("*", F.explode(F.sequence(F.lit(0), F.length("_b") - 1)).alias("_i"))
-    at = lambda c: F.substr(F.col(c), F.col("_i") + 1, F.lit(1))
-    base, q = at("_b"), F.ascii(at("_q")) - 33
-    if overlaps:
-        mate, mate_q, kept = at("_mb"), F.ascii(at("_mq")) - 33, F.floor(q * 0.8).cast("int")
-        chosen = lambda x: F.when(F.col("keeps"), x).otherwise(0)
-        pooled = (
-            F.when(mate.isNull() | mate.isin("", " "), q).when(mate == "-", chosen(kept)).when(mate == base, chosen(F.least(q + mate_q, F.lit(MOST_POOLED))))
-            .when(q > mate_q, kept).when(q < mate_q, 0).otherwise(chosen(kept))
-        )
-    else:
-        pooled = q
-    return bases.select("sample", "chrom", (F.col("_ref") + F.col("_i")).alias("pos"), base.alias("base"), pooled.alias("q"), "mapq", "reverse", (F.col("_read") + F.col("_i")).alias("read_at"), "read_length", "clipped")
+    return _by_batches(reads, overlaps, "sample string, chrom string, pos int, base string, q int, mapq int, reverse boolean, read_at int, read_length int, clipped boolean", B.observed)
+
+
+def counted(reads: DataFrame, min_q: int = 1, overlaps: bool = True) -> DataFrame:
+    """``depths`` of ``observations``, of which no rows are made: tasks add their reads' bases up in blocks of positions."""
+    parts = _by_batches(reads, overlaps, ", ".join(["sample string", "chrom string", "pos int", *(f"{c} long" for c in B.COUNTS)]), lambda batches, key: B.counted(batches, key, min_q))
+    sums = parts.groupBy("sample", "chrom", "pos").agg(*(F.sum(c).alias(c) for c in B.COUNTS))
+    total = sum((F.col(f"_{s}{b}") for b in BASES for s in "fr"), F.lit(0).cast("long"))
+    return sums.select("sample", "chrom", "pos", "raw_depth", total.alias("depth"), *_lists(), "mq0", "mapq_sum", "clipped")
+
+
+def _lists() -> list[Column]:
+    return [F.array(*(F.col(f"_{k}{b}") for b in BASES)).alias(n) for k, n in (("f", "adf"), ("r", "adr"), ("q", "qs"))]
 
 
 def depths(seen: DataFrame, min_q: int = 1) -> DataFrame:
@@ -137,15 +90,14 @@ def depths(seen: DataFrame, min_q: int = 1) -> DataFrame:
     read's quality, between 4 and 63.
     """
     good = F.col("base").isin(*BASES) & (F.col("q") >= min_q)
-    weight = F.greatest(F.least("q", F.least("mapq", F.lit(MOST_MAPQ)), F.lit(MOST_Q)), F.lit(LEAST_Q))
+    weight = F.greatest(F.least("q", F.least("mapq", F.lit(B.MOST_MAPQ)), F.lit(B.MOST_Q)), F.lit(B.LEAST_Q))
     of = lambda b: good & (F.col("base") == b)
-    sums = {f"_{n}{b}": e(of(b)) for b in BASES for n, e in (("f", lambda c: F.count_if(c & ~F.col("reverse"))), ("r", lambda c: F.count_if(c & F.col("reverse"))), ("q", lambda c: F.sum(F.when(c, weight).otherwise(0))))}
-    counted = seen.groupBy("sample", "chrom", "pos").agg(
-        F.count("*").alias("raw_depth"), F.count_if(good).alias("depth"), *(c.cast("long").alias(n) for n, c in sums.items()), F.count_if(good & (F.col("mapq") == 0)).alias("mq0"),
-        F.sum(F.when(good, F.least("mapq", F.lit(MOST_MAPQ))).otherwise(0)).cast("long").alias("mapq_sum"), F.count_if(good & F.col("clipped")).alias("clipped"),
+    each = {f"_{n}{b}": e(of(b)) for b in BASES for n, e in (("f", lambda c: F.count_if(c & ~F.col("reverse"))), ("r", lambda c: F.count_if(c & F.col("reverse"))), ("q", lambda c: F.sum(F.when(c, weight).otherwise(0))))}
+    sums = seen.groupBy("sample", "chrom", "pos").agg(
+        F.count("*").alias("raw_depth"), F.count_if(good).alias("depth"), *(c.cast("long").alias(n) for n, c in each.items()), F.count_if(good & (F.col("mapq") == 0)).alias("mq0"),
+        F.sum(F.when(good, F.least("mapq", F.lit(B.MOST_MAPQ))).otherwise(0)).cast("long").alias("mapq_sum"), F.count_if(good & F.col("clipped")).alias("clipped"),
     )
-    lists = [F.array(*(F.col(f"_{k}{b}") for b in BASES)).alias(n) for k, n in (("f", "adf"), ("r", "adr"), ("q", "qs"))]
-    return counted.select("sample", "chrom", "pos", "raw_depth", "depth", *lists, "mq0", "mapq_sum", "clipped")
+    return sums.select("sample", "chrom", "pos", "raw_depth", "depth", *_lists(), "mq0", "mapq_sum", "clipped")
 
 
 def indels(reads: DataFrame) -> DataFrame:
@@ -153,18 +105,17 @@ def indels(reads: DataFrame) -> DataFrame:
 
     Only operations right after aligned bases count, so of an insertion and a deletion side by side the first.
     """
-    o = F.col("o")
-    found = reads.select(*READ, "seq", F.explode(operations(F.col("cigar"), F.col("pos"))).alias("o")).where(o["op"].isin("I", "D") & o["after"].isin(*"M=X"))
-    inserted = F.when(o["op"] == "I", F.substr("seq", o["read_at"], o["n"])).otherwise("")
-    events = found.select("sample", "chrom", (o["ref_at"] - 1).alias("pos"), inserted.alias("inserted"), F.when(o["op"] == "D", o["n"]).otherwise(0).alias("deleted"), (F.col("flag").bitwiseAND(REVERSE) == 0).alias("_f"))
-    return events.groupBy("sample", "chrom", "pos", "inserted", "deleted").agg(F.count("*").alias("n"), F.count_if("_f").alias("n_forward"))
+    found = reads.where(F.col("cigar").contains("I") | F.col("cigar").contains("D")).select("sample", "chrom", F.col("pos").cast("int").alias("pos"), "flag", "cigar", "seq")
+    events = found.mapInArrow(B.events, "sample string, chrom string, pos int, inserted string, deleted int, forward boolean")
+    return events.groupBy("sample", "chrom", "pos", "inserted", "deleted").agg(F.count("*").alias("n"), F.count_if("forward").alias("n_forward"))
 
 
 def indel_records(events: DataFrame, reference: DataFrame, min_reads: int = 1) -> DataFrame:
     """Insertions and deletions as records (chrom, pos, ref, alt) with n, n_forward and ``calls`` (sample, n), where one sample has ``min_reads`` or more."""
     key = ["chrom", "pos", "inserted", "deleted"]
     calls = F.array_sort(F.collect_list(F.struct("sample", "n")))
-    found = events.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("n_forward").alias("n_forward"), F.max("n").alias("_most"), calls.alias("calls")).where(F.col("_most") >= min_reads)
+    # stored, since their places are asked for bases, and they meet these: reads would be gone through for each
+    found = stored(events.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("n_forward").alias("n_forward"), F.max("n").alias("_most"), calls.alias("calls")).where(F.col("_most") >= min_reads))
     spans = found.select("chrom", "pos", "deleted", F.col("pos").alias("beg"), (F.col("pos") + F.col("deleted")).alias("end_")).distinct()
     bases = R.with_bases(spans.withColumn("_c", F.col("chrom")), reference, ["_c", "pos", "deleted"], "ref").withColumnRenamed("_c", "chrom")
     return found.join(bases, ["chrom", "pos", "deleted"]).select("chrom", "pos", "ref", F.concat(F.substr("ref", F.lit(1), F.lit(1)), "inserted").alias("alt"), "n", "n_forward", "calls")

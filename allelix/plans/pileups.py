@@ -49,9 +49,21 @@ def _list(columns: dict[str, str], spark: bool) -> list[str]:
     return [s.replace(" // ", " div ").replace("''", "\\'") for s in shown] if spark else shown
 
 
+#: The same columns from the letters of the read's piece of its contig and the next one, filled up with N (``piece``), which are
+#: made once for each piece, and from digests of which only the letters that count are translated.
+FROM_PIECE = LINE | {
+    "seq": "substr(piece, CAST(1 + pos % 32 AS INT), 13) || substr('ACGTN', CAST(1 + kind % 5 AS INT), 1) || substr(piece, CAST(15 + pos % 32 AS INT), 26)",
+    "qual": "translate(md5(qname) || substr(md5(CAST(k AS VARCHAR(4)) || qname), 1, 8), '0123456789abcdef', '!#%''+/3579;=?ACE')",
+}
+
+
 def reads(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "lineitem").selectExpr(*_list(ROW, True)).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    return rows.selectExpr(*_list(READ, True)).selectExpr("*", f"{PLAIN.replace(' // ', ' div ')} AS plain").selectExpr(*_list(LINE, True))
+    # five contigs of 20,000 places: few pieces, whatever the number of reads
+    pieces = contigs(spark, sf_dir).selectExpr("chrom AS _chrom", "first AS _first", f"bases || {BASES_OF.format('first div 32 + 1')} || 'NNNNNNNN' AS piece")
+    named = rows.selectExpr(*_list(READ, True)).withColumn("_at", F.expr("pos div 32 * 32"))
+    met = named.join(F.broadcast(pieces), (F.col("chrom") == F.col("_chrom")) & (F.col("_at") == F.col("_first")))
+    return met.selectExpr(*_list(FROM_PIECE, True))
 
 
 def contigs(spark, sf_dir):
@@ -91,7 +103,7 @@ COUNTS = ", ".join(f"CAST({e.format(b=b)} AS BIGINT) AS {n}_{b.lower()}" for b i
 @query(f"WITH {PILED} SELECT sample, chrom, pos, count(*) AS raw_depth, count_if(ok)::BIGINT AS depth, {COUNTS}, count_if(ok AND mapq = 0)::BIGINT AS mq0, CAST(coalesce(sum(CASE WHEN ok THEN least(mapq, 60) END), 0) AS BIGINT) AS mapq_sum, count_if(ok AND clipped)::BIGINT AS clipped FROM good GROUP BY sample, chrom, pos")
 def pileup_depths(spark, sf_dir):
     """Counts of all bases by strand and quality for each sample and position, mates merged."""
-    counts = pileup.depths(pileup.observations(pileup.usable(reads(spark, sf_dir))))
+    counts = pileup.counted(pileup.usable(reads(spark, sf_dir)))
     lists = [F.get(n, F.lit(i)).alias(f"{s}_{b.lower()}") for i, b in enumerate("ACGT") for n, s in (("adf", "f"), ("adr", "r"), ("qs", "q"))]
     return counts.select("sample", "chrom", "pos", "raw_depth", "depth", *lists, "mq0", "mapq_sum", "clipped")
 
@@ -120,7 +132,7 @@ d AS (SELECT chrom, pos, count(*) AS dp, round(coalesce(sum(CASE WHEN ok THEN le
 SELECT chrom, pos, ref, alt, ref_qs, dp, ref_f, ref_r, alt_f, alt_r, CAST(mq AS DOUBLE) AS mq, CAST(mq0f AS DOUBLE) AS mq0f FROM x JOIN d USING (chrom, pos)""")
 def pileup_records(spark, sf_dir):
     """Records of all positions with bases: alleles in the order of their qualities, counts by strand, mapping qualities; REF's share in thousandths."""
-    found = pileup.records(pileup.depths(pileup.observations(pileup.usable(reads(spark, sf_dir)))), contigs(spark, sf_dir))
+    found = pileup.records(pileup.counted(pileup.usable(reads(spark, sf_dir))), contigs(spark, sf_dir))
     strands = [F.get("dp4", F.lit(i)).alias(n) for i, n in enumerate(("ref_f", "ref_r", "alt_f", "alt_r"))]
     alt = F.when(F.size("alts") > 0, F.array_join("alts", ",")).otherwise(".")
     return found.select("chrom", "pos", "ref", alt.alias("alt"), F.floor(F.get("qs", F.lit(0)) * 1000 + 1e-6).alias("ref_qs"), "dp", *strands, F.round("mq", 6).alias("mq"), F.round("mq0f", 6).alias("mq0f"))
