@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from allelix.functions.variants import trimmed
 from allelix.operators import intervals
+from allelix.session import stored
 
 ALLELES = ["chrom", "pos", "ref", "alt"]
 
@@ -81,13 +82,14 @@ def tolerant(records: DataFrame, source: DataFrame, columns: list[str], order: l
     wherever they begin. In each, the first by ``order`` counts. ``per_allele`` columns are arrays of which the matched ALT's value is
     taken, null without one. With ``end``, a symbolic ALT whose record has a value there needs the same value in the source.
 
-    Source rows are brought down to one for each key before they are joined, and repeated records ask once, so that neither
-    side's hot keys make pairs; each step is an equi-join. Null REF, ALT or position match nothing.
+    Source rows are brought down to one for each way of writing, and then for each key, before they are joined, and records written
+    alike ask once, so that neither side's hot keys make pairs; each step is an equi-join, and records themselves are joined once. Null REF, ALT or position match nothing.
     """
     ends = F.col(end).cast("int") if end else F.lit(None).cast("int")
-    alts = F.split("alt", ",")
     found = F.struct(*columns)
-    rows = source.select("chrom", "pos", "ref", ends.alias("_at"), alts.alias("_alts"), F.col("alt").alias("_list"), F.struct(*order).alias("_o"), found.alias("_v"))
+    # rows written alike differ in nothing but their order: the first of them is all that any step can take
+    written = source.select("chrom", "pos", "ref", ends.alias("_at"), F.col("alt").alias("_list"), F.struct(*order).alias("_o"), found.alias("_v"))
+    rows = stored(written.groupBy("chrom", "pos", "ref", "_at", "_list").agg(F.min_by("_v", "_o").alias("_v"), F.min("_o").alias("_o"))).withColumn("_alts", F.split("_list", ","))
     each = rows.select("*", F.posexplode("_alts").alias("_i", "_alt"))
     picked = F.struct(*((F.get(F.col(f"_v.{c}"), F.col("_i")) if c in per_allele else F.col(f"_v.{c}")).alias(c) for c in columns), F.col("_i").alias("allele"))
     whole = F.struct(*((F.get(F.col(f"_v.{c}"), F.lit(-1)) if c in per_allele else F.col(f"_v.{c}")).alias(c) for c in columns), F.lit(None).cast("int").alias("allele"))
@@ -98,8 +100,11 @@ def tolerant(records: DataFrame, source: DataFrame, columns: list[str], order: l
     if end:
         exact_rows = exact_rows.unionByName(each.where(F.col("_alt").startswith("<")).where("_at IS NOT NULL").select(*plain_key, "_alt", "_at", value.alias("_r"), picked.alias("_f")))
     first = exact_rows.where("_alt IS NOT NULL").groupBy(*plain_key, "_alt", "_at").agg(F.min_by("_f", "_r").alias("_1"))
-    asked = records.withColumns({"_alt": F.col("alt"), "_at": F.coalesce(F.when(F.col("alt").startswith("<"), ends), F.lit(-1))})
-    step = _forms(asked.join(first, [*plain_key, "_alt", "_at"], "left"))
+    # records written alike ask once
+    keys = [*plain_key, "_alt", "_at"]
+    told_at = F.coalesce(F.when(F.col("alt").startswith("<"), ends), F.lit(-1))
+    asked = stored(records.select(*plain_key, F.col("alt").alias("_alt"), told_at.alias("_at")).distinct())
+    step = _forms(asked.join(first, keys, "left"))
     forms = _forms(each.select(*plain_key, "_alt", value.alias("_r"), picked.alias("_f"))).where("_plain")
     # suffixes of one event at one position: distinct ones on both sides are compared, then joined back
     theirs = forms.groupBy("chrom", "pos", "_short", F.col("_end").alias("_their")).agg(F.min_by("_f", "_r").alias("_f"), F.min("_r").alias("_r"))
@@ -110,5 +115,7 @@ def tolerant(records: DataFrame, source: DataFrame, columns: list[str], order: l
     joined = step.join(second, ["chrom", "pos", "_short", "_end"], "left").join(third, ["chrom", "_core"], "left")
     chosen = F.coalesce("_1", "_2", "_3")
     tier = F.when(F.col("_1").isNotNull(), 1).when(F.col("_2").isNotNull(), 2).when(F.col("_3").isNotNull(), 3)
+    answers = stored(joined.where(tier.isNotNull()).select(*(F.col(c).alias(f"_{c}") for c in plain_key), "_alt", "_at", chosen.alias("_found"), tier.alias("_tier")))
+    of = [F.col(c) == F.col(f"_{c}") for c in (*plain_key, "alt")] + [told_at == F.col("_at")]
     kept = [F.col(c) for c in records.columns if c not in (*columns, "matched", "allele")]
-    return joined.select(*kept, *(chosen[c].alias(c) for c in (*columns, "allele")), tier.alias("matched"))
+    return records.join(answers, of, "left").select(*kept, *(F.col("_found")[c].alias(c) for c in (*columns, "allele")), F.col("_tier").alias("matched"))
