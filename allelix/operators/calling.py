@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelix.functions import variants as V
+from allelix.session import once, stored
 
 #: Expected share of variant sites, phred scale and the highest genotype quality.
 THETA, PHRED, MOST_GQ = 1.1e-3, -4.34294, 127.0
@@ -78,8 +79,20 @@ def call_alleles(sites: DataFrame, samples: int, theta: float = THETA, trios: li
     among the calls) are called together: by the product of their likelihoods and the chance that the child inherits its genotype, or has
     it anew with ``novel``; their qualities are of the sums over what the others may have. A trio with a silent member is called singly. A site on which no sample tells anything has REF and a null quality.
     """
-    n = F.size("alts") + 1
-    prior = log_prior(samples, theta)
+    # equal shares and likelihoods are worked out once; the stored table is of known size where sites meet it
+    asked = F.struct(F.size("alts").alias("n"), F.col("qs").alias("qs"), F.transform("calls", lambda c: c["pl"]).alias("pl"))
+    keyed = once(sites.withColumn("_asked", asked))
+    told = stored(_called(keyed.select("_asked").distinct(), log_prior(samples, theta), trios or [], novel))
+    joined = keyed.join(told.select(F.col("_asked").alias("_key"), F.struct("*").alias("_found")), F.col("_asked") == F.col("_key"))
+    calls = F.zip_with("calls", "_found._calls", lambda c, t: c.withField("gt", t["gt"]).withField("gq", t["gq"]))
+    kept = [calls.alias(c) if c == "calls" else F.col(c) for c in sites.columns if c not in ("best", "kept", "qual")]
+    return joined.select(*kept, "_found.best", "_found.kept", "_found.qual")
+
+
+def _called(asked: DataFrame, prior: float, trios: list[tuple[int, int, int]], novel: float) -> DataFrame:
+    """``_asked`` (n ALTs, qs and pl of each call) with ``best``, ``kept``, ``qual``, and gt and gq of each call."""
+    n = F.col("_n") + 1
+    sites = asked.select("_asked", F.col("_asked.n").alias("_n"), F.col("_asked.qs").alias("qs"), F.transform("_asked.pl", lambda p: F.struct(p.alias("pl"))).alias("calls"))
     rows = sites.withColumn("_p", F.transform("calls", lambda c: F.when(F.size(c["pl"]) == F.shiftright(n * (n + 1), 1), probabilities(c["pl"]))))
     rows = rows.withColumn("_told", F.filter("_p", lambda p: p.isNotNull()))
     share = lambda i: F.coalesce(F.get("qs", i), F.lit(0.0))
@@ -139,7 +152,7 @@ def call_alleles(sites: DataFrame, samples: int, theta: float = THETA, trios: li
         return c.withField("gt", gt).withField("gq", F.when(w.isNotNull() & variant, gq.cast("int")).otherwise(0))
 
     rows = rows.withColumn("calls", F.zip_with("calls", "_w", call))
-    for child, father, mother in trios or []:
+    for child, father, mother in trios:
         of = lambda i: F.get("_w", F.lit(i))
         rows = rows.withColumn("_trio", F.when(variant & of(child).isNotNull() & of(father).isNotNull() & of(mother).isNotNull(), _family(of(father), of(mother), of(child), novel)))
         rows = rows.withColumn("_first", F.array_max("_trio"))
@@ -147,7 +160,7 @@ def call_alleles(sites: DataFrame, samples: int, theta: float = THETA, trios: li
         total = _total(F.transform("_trio", lambda x: x["w"]))
         for place, who in ((child, "c"), (father, "f"), (mother, "m")):
             rows = rows.withColumn("calls", F.transform("calls", _member(place, who, found, total)))
-    return rows.drop("_trio", "_first", "_p", "_told", "_sets", "_parts", "_lk", "_ref", "_sum", "_pairs", "_w")
+    return rows.select("_asked", "best", "kept", "qual", F.transform("calls", lambda c: F.struct(c["gt"].alias("gt"), c["gq"].alias("gq"))).alias("_calls"))
 
 
 def _member(place: int, who: str, found: Column, total: Column):
