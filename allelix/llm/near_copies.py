@@ -9,10 +9,12 @@ Documents are near copies if their sets of five-word shingles have a Jaccard sim
    two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each. The order
    puts shingles that a sample knows as frequent last; any order gives the same result. Pairs that share
    one, whose sizes and places allow the similarity and whose 256 bits differ in at most ``FAR``
-   (similar sets differ in 39, give or take 6) are candidates.
+   (similar sets differ in 39, give or take 6) are candidates, unless their sketches rule them out. A sketch
+   is the parity of a set's number of shingles in each of ``SKETCH_BITS`` slots: two sets differ in at least
+   as many shingles as their sketches in bits, so that no similar pair is lost.
 3. A group's candidates are not all emitted: in a round each set names its ``NEAREST`` candidates outside its
    component, those are checked by whole sets and united. A round that unites nothing is followed by one
-   that names more, up to all, and the end comes when each candidate outside a component has failed the check.
+   that names more, up to all, and the end comes when each candidate outside a component has been checked.
 
 Equality of shingles and of whole sets rests on 64-bit hashes.
 """
@@ -44,6 +46,10 @@ FREQUENT = 100_000
 FAR = 76
 #: The same for the first 64 bits, of which similar sets differ in 10, give or take 3.
 FAR_FIRST = 28
+#: Slots of a sketch: it tells pairs apart up to some 4,000 shingles, beyond that ever fewer.
+SKETCH_BITS = 2048
+#: Pairs whose sketches are compared at once.
+SKETCH_PAIRS = 1 << 14
 #: Candidates that a set names in a list and round at first, and how many times more after a round that unites nothing: all, then.
 NEAREST, WIDER = 2, 64
 #: Candidates of a list's set beyond which a round names all of them.
@@ -96,6 +102,11 @@ def fingerprint(held: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(held), bitorder="little").view("<i8")
 
 
+def sketch(held: np.ndarray) -> bytes:
+    """Whether each slot holds an odd number of the set's shingles, in bits."""
+    return np.packbits((np.bincount((held % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+
+
 def name(held: np.ndarray) -> int:
     """A set's name: a signed 64-bit hash of all its shingles."""
     return xxhash.xxh64_intdigest(held.tobytes(), SEED) - (1 << 63)
@@ -138,7 +149,7 @@ def prefix(held: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 
 
 LANES = ["fp", "fp1", "fp2", "fp3"]
-MARKED = "doc_id long, th long, rep long, fp long, fp1 long, fp2 long, fp3 long, size int, prefix array<long>"
+MARKED = "doc_id long, th long, rep long, fp long, fp1 long, fp2 long, fp3 long, size int, prefix array<long>, sketch binary"
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -148,19 +159,19 @@ def marked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), set()
         for batch, texts in chunks(batches):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for text in texts:
                 held = shingles(text, known)
                 rep = name(held)
-                row = (rep, *[None] * 6)
+                row = (rep, *[None] * 7)
                 if rep not in met:
                     met.add(rep)
-                    row = (rep, *fingerprint(held).tolist(), len(held), prefix(held, sent.value).view(np.int64))
+                    row = (rep, *fingerprint(held).tolist(), len(held), prefix(held, sent.value).view(np.int64), sketch(held))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             if len(met) > WORD_KEYS:
                 met.clear()
-            kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64())]
+            kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[f.split()[0] for f in MARKED.split(", ")])
         del known, met
         release()
@@ -187,7 +198,7 @@ def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def candidates(key: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, lanes: list[np.ndarray], root: np.ndarray, most: int = FAR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def candidates(key: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, lanes: list[np.ndarray], root: np.ndarray, most: int = FAR, sketches: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, bits that differ) of rows of one key that may be alike and have different roots; nothing is held."""
     i, step = np.arange(len(key)), 0
     while len(i):
@@ -199,6 +210,8 @@ def candidates(key: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarr
         for lane in lanes:
             far += np.bitwise_count((lane[i] ^ lane[j]).view(np.uint64))
         ok = (far <= most) & (root[i] != root[j]) & (rep[i] != rep[j]) & possible(size, pos, i, j)
+        if sketches is not None and ok.any():
+            ok[ok] = told_alike(sketches, size, i[ok], j[ok])
         if ok.any():
             yield i[ok], j[ok], far[ok]
 
@@ -208,7 +221,11 @@ _LIST_NAMES = [f.split()[0] for f in _LIST.split(", ")]
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """Places of the prefixes' shingles at which a set has a candidate."""
+    """Places of the prefixes' shingles at which a set has a candidate: of lists of equal sets the first alone.
+
+    All sets have the shingles that they share in the same order, so that what the first of these lists
+    leaves out by its places the others leave out too.
+    """
 
     def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rep, both, fp in whole_runs(batches):
@@ -219,11 +236,33 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in (key, rep, size.astype(np.int32), pos.astype(np.int32))], names=_LIST_NAMES[:4])
 
     sets = rows.where("prefix IS NOT NULL")
-    # size and place travel in one number, and three of the four lanes only where the first one leaves a candidate
+    def nearer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rep, size, pos, *lanes in whole_runs(batches):
+            near = np.zeros(len(key), dtype=bool)
+            for i, j, _ in candidates(key, rep, size, pos, lanes, rep):
+                near[i] = near[j] = True
+            near[1:] &= (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])  # a set that several tasks have met counts once
+            if near.any():
+                key, rep, size, pos, *lanes = (c[near] for c in (key, rep, size, pos, *lanes))
+                begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                n = np.diff([*begin.tolist(), len(key)])
+                members = np.repeat(mixed(np.add.reduceat(mixed(rep.view(np.uint64)), begin) + n.astype(np.uint64)), n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (members, np.repeat(np.add.reduceat(pos.astype(np.int64), begin), n), key, rep, size, pos, *lanes)], names=["members", "places", *_LIST_NAMES])
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members, _, key, *rest in whole_runs(batches):
+            begin = np.concatenate(([True], members[1:] != members[:-1]))
+            keep = key == key[begin][np.cumsum(begin) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, *rest)], names=_LIST_NAMES)
+
+    # size and place travel in one number, and three of the four lanes only where the first one leaves a candidate, sketches where all four do
     placed = sets.select("rep", "size", "fp", F.posexplode("prefix").alias("pos", "key")).select("key", "rep", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("both"), "fp")
     found = cut(placed.repartition("key").sortWithinPartitions("key").mapInArrow(some, "key long, rep long, size int, pos int"))
     lanes = sets.select(F.col("rep").alias("node"), *LANES).dropDuplicates(["node"])
-    return found.join(lanes, F.col("rep") == F.col("node")).select(*_LIST_NAMES)
+    by_key = found.join(lanes, F.col("rep") == F.col("node")).select(*_LIST_NAMES).repartition("key").sortWithinPartitions("key", "rep")
+    alike_lists = by_key.mapInArrow(nearer, f"members long, places long, {_LIST}").repartition("members").sortWithinPartitions("members", "places", "key")
+    sketches = sets.select(F.col("rep").alias("node"), "sketch").dropDuplicates(["node"])
+    return alike_lists.mapInArrow(first, _LIST).join(sketches, F.col("rep") == F.col("node")).select(*_LIST_NAMES, "sketch")
 
 
 def possible(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -232,6 +271,16 @@ def possible(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return (OVER + UNDER) * rest >= OVER * (size[i].astype(np.int64) + size[j])
 
 
+def told_alike(sketches: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sketches (rows of 64-bit numbers) of sets i and j differ in no more bits than similar sets in shingles."""
+    out = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), SKETCH_PAIRS):
+        a, b = i[at : at + SKETCH_PAIRS], j[at : at + SKETCH_PAIRS]
+        differ = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+        out[at : at + SKETCH_PAIRS] = (OVER + UNDER) * differ <= (UNDER - OVER) * (size[a].astype(np.int64) + size[b])
+    return out
+
+
 def tree_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs of sets (a, b) whose fingerprints are linked by the trees, and of sets of one fingerprint."""
     sets = rows.where("prefix IS NOT NULL").select("fp", "rep").distinct()
@@ -262,14 +311,17 @@ def pairs(lists: DataFrame, linked: DataFrame, limit: int = NEAREST) -> DataFram
     """Distinct pairs (a, b): in each list every set with its ``limit`` nearest candidates outside its component.
 
     A row of nulls says that candidates were left out. Beyond ``ALL`` none are, and nothing is held.
+    Lists without the column ``sketch`` are taken by their other columns alone.
     """
-    named = lists.join(linked, F.col("rep") == F.col("node"), "left").select(*_LIST_NAMES, F.coalesce("root", "rep").alias("root"))
+    columns = [*_LIST_NAMES, *(["sketch"] if "sketch" in lists.columns else [])]
+    named = lists.join(linked, F.col("rep") == F.col("node"), "left").select(*_LIST_NAMES, F.coalesce("root", "rep").alias("root"), *columns[len(_LIST_NAMES) :])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = False
-        for key, rep, size, pos, *lanes, root in whole_runs(batches):
+        for key, rep, size, pos, fp, fp1, fp2, fp3, root, *rest in whole_runs(batches):
+            lanes, sketches = [fp, fp1, fp2, fp3], np.frombuffer(b"".join(rest[0]), dtype="<u8").reshape(len(key), -1) if rest else None
             best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for i, j, far in candidates(key, rep, size, pos, lanes, root):
+            for i, j, far in candidates(key, rep, size, pos, lanes, root, sketches=sketches):
                 if limit > ALL:
                     yield _pairs_of(rep, i, j)
                     continue
@@ -351,21 +403,21 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the components of sets that are alike; ``rows`` are the marked ``docs``."""
     tried = cut(tree_pairs(rows))
-    edges = cut(verified(tried, docs, rows))
-    linked = cut(components(edges))
+    linked = cut(components(cut(verified(tried, docs, rows))))
     lists, limit = cut(shared_prefixes(rows)), NEAREST
     while True:
         named = cut(pairs(lists, linked, limit))
+        all_named = named.where("a IS NULL").isEmpty()
         fresh = cut(named.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"))
-        found = cut(verified(fresh, docs, rows))
-        tried = tried.union(fresh)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            linked = cut(components(edges))
-        elif named.where("a IS NULL").isEmpty():
-            return linked
-        else:
+        found = None if fresh.isEmpty() else cut(verified(fresh, docs, rows))
+        if found is not None and not found.isEmpty():
+            # components that are known are stars: few rounds are left
+            linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
+        elif not all_named:
             limit *= WIDER
+        if all_named:
+            return linked
+        tried = tried.union(fresh)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -126,6 +126,22 @@ def test_pairs_name_the_nearest_and_say_what_is_left_out(spark, limit, want, lef
     assert {tuple(r) for r in near_copies.pairs(lists, linked, near_copies.ALL + 1).collect()} == {(a, b) for b in range(2, 5) for a in range(1, b)}
 
 
+def test_unlike_sets_of_a_group_are_not_paired_and_equal_lists_count_once(spark, make):
+    near_copies.ship_package(spark)
+    rnd = random.Random(19)
+    draw = lambda n: [f"w{rnd.randint(0, 1_000_000)}" for _ in range(n)]
+    base, twin, texts = draw(200), draw(200), []
+    for _ in range(60):  # about 158 of 234 shingles of any two
+        words = list(base)
+        for part in range(4):
+            words[50 * part + rnd.randint(4, 45)] = draw(1)[0]
+        texts.append(" ".join(words))
+    lists = near_copies.shared_prefixes(near_copies.stored(near_copies.marked(make([*texts, " ".join(twin), " ".join([*twin, "x"])]))))
+    none = spark.createDataFrame([], "node long, root long")
+    assert near_copies.pairs(lists, none, near_copies.ALL + 1).count() == 1
+    assert lists.where("size = 197").count() == 1  # the twins share some 40 shingles of their prefixes
+
+
 def test_pipeline_removes_near_copies(spark, make, tmp_path):
     rnd = random.Random(13)
     base = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
