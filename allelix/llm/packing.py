@@ -12,6 +12,7 @@ import heapq
 import os
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -100,33 +101,43 @@ def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
     n = len(sizes)
     if not n:
         return []
-    children = np.empty((2 * n, 2), dtype=np.int64)
-    parts = {i: (np.array([s], dtype=np.int64), np.array([i], dtype=np.int64)) for i, s in enumerate(sizes)}
+    # a subset is one number, its sum before its node, so that a partition is one ascending list
+    bits = (2 * n).bit_length()
+    low = (1 << bits) - 1
+    children: list[tuple[int, int]] = []
+    parts = {i: [s << bits | i] for i, s in enumerate(sizes)}
     heap = [(-s if k > 1 else 0, i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    fresh, node = n, n
+    fresh = n
     while len(heap) > 1:
-        (a, at_a), (b, at_b) = parts.pop(heapq.heappop(heap)[1]), parts.pop(heapq.heappop(heap)[1])
-        shared = max(0, len(a) + len(b) - k)
-        lone_a, lone_b, made = len(a) - shared, len(b) - shared, np.arange(node, node + shared)
-        children[made, 0], children[made, 1] = at_a[lone_a:], at_b[lone_b:][::-1]
-        node += shared
-        sums = np.concatenate((a[:lone_a], b[:lone_b], a[lone_a:] + b[lone_b:][::-1]))
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        parts[fresh] = (sums, np.concatenate((at_a[:lone_a], at_b[:lone_b], made))[order])
-        heapq.heappush(heap, (int((sums[-1] if len(sums) == k else 0) - sums[0]), fresh))
+        a, b = parts.pop(heapq.heappop(heap)[1]), parts.pop(heapq.heappop(heap)[1])
+        if len(a) < len(b):
+            a, b = b, a
+        shared = len(a) + len(b) - k
+        made = []
+        if shared > 0:
+            for one, two in zip(a[:shared], b[shared - 1 :: -1], strict=True):
+                made.append((one >> bits) + (two >> bits) << bits | n + len(children))
+                children.append((one & low, two & low))
+            del a[:shared], b[:shared]
+        if len(b) + len(made) == 1:  # most often: one more rest
+            insort(a, (b or made)[0])
+        else:
+            a += b + made
+            a.sort()
+        parts[fresh] = a
+        heapq.heappush(heap, ((a[0] >> bits if len(a) == k else 0) - (a[-1] >> bits), fresh))
         fresh += 1
     out = []
-    for total, top in zip(*(x.tolist() for x in parts[heap[0][1]]), strict=True):
-        leaves, stack = [], [top]
+    for subset in reversed(parts[heap[0][1]]):
+        leaves, stack = [], [subset & low]
         while stack:
             x = stack.pop()
             if x < n:
                 leaves.append(x)
             else:
-                stack.extend(children[x].tolist())
-        out.append((total, sorted(leaves)))
+                stack.extend(children[x - n])
+        out.append((subset >> bits, sorted(leaves)))
     return out
 
 
