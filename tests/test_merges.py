@@ -127,3 +127,42 @@ def test_empty_files_and_nulls(spark):
     assert (r.id, r.ref, r.alts, r.qual, r.filter, r.info_dp, [c.gt for c in r.calls]) == (".", "A", ["C", "<*>"], None, ".", 0, ["./.", None, "0/1"])
     flat = empty.select("k", "chrom", "pos", "id", "ref", F.lit("A").alias("alt"))
     assert M.intersect([flat, flat], ["k"], "both").count() == 0 and M.sites(M.intersect([flat], ["k"]), ["k"]).count() == 0
+
+
+POOL = [
+    (2, "A", ["C"]), (2, "A", ["G", "C"]), (136, "A", ["AT"]), (264, "ATG", ["A"]), (266, "ATG", ["A", "CTG"]), (4, "AT", ["GC"]), (1, "A", []), (16, "A", ["<DEL>"]), (2, "A", ["T", "*"]),
+    (1, "A", ["<*>"]), (16, "CT", ["G"]), (2, "AC", ["AG"]), (3, "A", ["C", "<*>"]), (4, "ATG", ["GTC"]),
+]
+
+
+@pytest.mark.parametrize("mode", ["none", "snps", "indels", "both", "snp-ins-del", "all"])
+def test_rounds_by_shapes_equal_the_plain_rule(mode):
+    rnd, dealer = random.Random(mode), M.Rounds(mode)
+    for _ in range(100):
+        pool = rnd.sample(POOL, rnd.randint(1, len(POOL)))
+        todo = sorted(((rnd.randint(0, 3), *rnd.choice(pool)) for _ in range(rnd.randint(1, 60))), key=lambda x: x[0])
+        todo = [(*x, ".", rnd.choice([0, 5, None]) if x[3] == ["<DEL>"] else None) for x in todo]
+        left, plain = list(range(len(todo))), []
+        while left:
+            plain.append(sorted(left[i] for i in M.next_round(mode, [todo[i] for i in left])))
+            left = [i for i in left if i not in plain[-1]]
+        assert dealer.deal([x[0] for x in todo], [dealer.shape(x[1], x[2], tuple(x[3]), x[5]) for x in todo]) == plain
+
+
+def test_fits_are_asked_by_shapes_not_by_records(monkeypatch):
+    asked, fits = [], M._fits
+    monkeypatch.setattr(M, "_fits", lambda *a: asked.append(a) or fits(*a))
+    rnd, dealer = random.Random(1), M.Rounds("both")
+    numbers = [rnd.choice([dealer.shape(k, r, tuple(a), None) for k, r, a in POOL[:6]]) for _ in range(3000)]
+    dealt = dealer.deal([i // 1000 for i in range(3000)], numbers)
+    assert sorted(i for r in dealt for i in r) == list(range(3000)) and len(asked) < 3000
+
+
+def test_records_come_together_once_and_calls_are_made_then(spark):
+    rows = [(i, "1", i % 2, ".", "A", ["C"], None, ".", i) for i in range(6)]
+    files = [spark.createDataFrame(rows, "k int, chrom string, pos int, id string, ref string, alts array<string>, qual double, filter string, info_dp int") for _ in range(2)]
+    for mode in ("id", "both"):
+        df = M.merge_files(files, [1, 1], ["k"], mode, {"ad": "R"}, calls="array(struct(CASE WHEN x.info_dp > pos THEN '0/1' ELSE '0/0' END AS gt, array(x.info_dp, x.info_dp + 1) AS ad))")
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        got = sorted((r.pos, r.info_dp, [(c.gt, c.ad) for c in r.calls]) for r in df.collect())
+        assert got == sorted((i % 2, 2 * i, [("0/1" if i > i % 2 else "0/0", [i, i + 1])] * 2) for i in range(6))
